@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm import boilerplate, neighbours, packing, splitting, tokens
+from tessella.llm import boilerplate, neighbours, packing, sentences, splitting, tokens
 from tessella.sources.tables import latest_rows, table
 
 
@@ -103,6 +103,23 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
     return used.join(budgets, "budget_id").select("budget_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("fill"))
 
 
+def _sentences(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.sentences(table(spark, base, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_kind").alias("kind")))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, start_char, end_char) of each sentence of each text."""
+    return _sentences(spark, base).select(F.col("id").alias("doc_id"), F.col("start").alias("start_char"), F.col("stop").alias("end_char"))
+
+
+def p8_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, sentence_no, sentence) in order, numbered from 0."""
+    texts = table(spark, base, "documents").select(F.col("doc_id").alias("id"), "text")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1
+    rows = _sentences(spark, base).withColumn("sentence_no", number).join(texts, "id")
+    return rows.select(F.col("id").alias("doc_id"), "sentence_no", F.substr("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("sentence"))
+
+
 _PAIRS_SQL = """
 WITH newest AS (SELECT chunk_id, max_by(embedding, embedded_at) e FROM chunk_vectors WHERE chunk_id IS NOT NULL GROUP BY 1),
 v AS (
@@ -160,4 +177,6 @@ QUERIES = {
     "p6_decoded": (p6_decoded, None),
     "p7_packed": (p7_packed, None),
     "p7_fill": (p7_fill, None),
+    "p8_found": (p8_found, None),
+    "p8_texts": (p8_texts, None),
 }
