@@ -8,8 +8,9 @@ Where a piece starts follows from where the one before ends, so one cost per cut
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,26 +90,48 @@ def _next_start(text: str, end: int, overlap: int) -> int:
     return start
 
 
-def cut(text: str, limit: int, overlap: int) -> tuple[str, list[int], list[int]]:
-    """(cut level, starts, ends) of the pieces of a trimmed text longer than ``limit``."""
-    level, kinds = boundaries(text, limit, overlap)
-    ends = sorted(kinds)
+def _cheapest(starts: list[int], ends: list[int], penalties: list[float], limit: int, target: float) -> list[int]:
+    """For each cut, numbered from 1, the cut before it on the cheapest way there from the start of the text, 0."""
     n = len(ends)
-    starts = [0, *(_next_start(text, e, overlap) for e in ends)]  # of the piece after cut i - 1
-    pieces = -(-max(len(text) - overlap, 1) // (limit - overlap))
-    target = min(limit, (len(text) - overlap) / pieces + overlap)
     cost, back = [0.0, *[float("inf")] * n], [0] * (n + 1)
     for i in range(n):
-        if cost[i] == float("inf"):
-            continue
-        start, after = starts[i], ends[i - 1] if i else 0
-        for j in range(max(i, bisect_left(ends, after + 1)), n):
+        start, so_far = starts[i], cost[i] + 1.0
+        for j in range(i, n):
             size = ends[j] - start
             if size > limit:
                 break
-            value = cost[i] + 1.0 + PENALTIES[kinds[ends[j]]] * (j < n - 1) + ((size - target) / limit) ** 2
+            off = (size - target) / limit
+            value = so_far + penalties[j] + off * off
             if value < cost[j + 1]:
                 cost[j + 1], back[j + 1] = value, i
+    return back
+
+
+def _cheapest_vectorised(starts: list[int], ends: list[int], penalties: list[float], limit: int, target: float) -> list[int]:
+    """As ``_cheapest``, relaxing all cuts within reach of one cut at a time."""
+    n = len(ends)
+    at, fees = np.array(ends, np.float64), np.array(penalties)
+    cost, back = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    cost[0] = 0.0
+    for i in range(n):
+        reach = bisect_right(ends, starts[i] + limit)
+        value = (cost[i] + 1.0) + fees[i:reach] + ((at[i:reach] - starts[i] - target) / limit) ** 2
+        better = value < cost[i + 1 : reach + 1]
+        cost[i + 1 : reach + 1][better] = value[better]
+        back[i + 1 : reach + 1][better] = i
+    return back.tolist()
+
+
+def cut(text: str, limit: int, overlap: int) -> tuple[str, list[int], list[int]]:
+    """(cut level, starts, ends) of the pieces of a trimmed text longer than ``limit``."""
+    level, kinds = boundaries(text, limit, overlap)
+    ends = sorted(kinds)
+    n = len(ends)
+    starts = [0, *(_next_start(text, e, overlap) for e in ends)]  # of the piece after cut i - 1
+    pieces = -(-max(len(text) - overlap, 1) // (limit - overlap))
+    target = min(limit, (len(text) - overlap) / pieces + overlap)
+    penalties = [*(PENALTIES[kinds[e]] for e in ends[:-1]), 0.0]
+    back = (_cheapest_vectorised if n >= 64 else _cheapest)(starts, ends, penalties, limit, target)
     at, found = n, []
     while at:
         found.append((starts[back[at]], ends[at - 1]))
