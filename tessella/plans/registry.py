@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import knowledge
+from tessella.plans import knowledge, relational
 
-MODULES = [knowledge]
+MODULES = [knowledge, relational]
 
 
 def catalogue() -> dict:
