@@ -23,7 +23,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -
     q, v = queries.filter("query IS NOT NULL"), vectors.filter("embedding IS NOT NULL")
     n_q, n_v = (max(1, -(-x.count() // block)) for x in (q, v))
     q = q.select("query_id", F.col("query").cast("array<double>").alias("_vector"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
-    v = v.select("id", F.col("embedding").cast("array<double>").alias("_vector"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb2"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint").alias("qb2"))
+    v = v.select("id", F.col("embedding").cast("array<double>").alias("_vector"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("qb2"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -38,6 +38,35 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -
     return top_n(pairs, ["query_id"], [F.col("score").desc(), F.col("id").asc()], k)
 
 
+def nearest_pages(queries: DataFrame, pages: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(query_id, id, score, rank): the k pages of highest late-interaction score for each query, exactly.
+
+    ``queries``: query_id, query_vectors; ``pages``: id, vectors; both arrays of vectors of one
+    length, none empty. The score sums, over a query's vectors, the best inner product with a page
+    vector. Cut into pairs of blocks like ``nearest``.
+    """
+    n_q, n_v = (max(1, -(-x.count() // block)) for x in (queries, pages))
+    q = queries.select("query_id", F.col("query_vectors").cast("array<array<double>>").alias("_vectors"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
+    v = pages.select("id", F.col("vectors").cast("array<array<double>>").alias("_vectors"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("qb2"))
+
+    def stacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        sizes = rows["_vectors"].map(len).to_numpy()
+        return np.stack([x for vs in rows["_vectors"] for x in vs]), np.r_[0, np.cumsum(sizes)[:-1]]
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        right = right.sort_values("id", ignore_index=True)
+        (a, a_at), (b, b_at) = stacked(left), stacked(right)
+        scores = np.add.reduceat(np.maximum.reduceat(a @ b.T, b_at, axis=1), a_at, axis=0)
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), at.shape[1]), "id": right["id"].to_numpy()[at.ravel()], "score": np.take_along_axis(scores, at, 1).ravel()})
+
+    kinds = dict(q.dtypes) | dict(v.dtypes)
+    pairs = q.groupBy("qb", "vb").cogroup(v.groupBy("qb2", "vb2")).applyInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_n(pairs, ["query_id"], [F.col("score").desc(), F.col("id").asc()], k)
+
+
 def tag_boost(ranked: DataFrame, query_tags: str, item_tags: str, weight: float = 0.15) -> DataFrame:
     """``score`` plus ``weight`` for each tag that query and item share."""
     return ranked.withColumn("score", F.col("score") + F.lit(weight) * F.size(F.array_intersect(query_tags, item_tags)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import knowledge, relational
+from tessella.plans import graphs, knowledge, reading, relational, retrieval, streams, texts
 
-MODULES = [knowledge, relational]
+MODULES = [knowledge, relational, texts, retrieval, graphs, reading, streams]
 
 
 def catalogue() -> dict:
