@@ -49,6 +49,9 @@ def run_to_end(spark: SparkSession, result: DataFrame, mode: str = "complete") -
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-stream-")
     place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
+    empty = spark.createDataFrame([], result.schema)
+    empty.write.parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch=-1")
+
     def keep(batch: DataFrame, number: int) -> None:
         if mode == "complete":
             batch.write.mode("overwrite").parquet(f"{place}/out")
