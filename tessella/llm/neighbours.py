@@ -112,7 +112,7 @@ def _projections(mean: np.ndarray, covariance: np.ndarray, curves: Curves) -> li
         matrix = axes @ turn
         spread = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", matrix, covariance, matrix), 1e-12))
         matrix = matrix / spread / 5
-        out.append((matrix, 0.5 - mean @ matrix + (random.random(curves.axes) - 0.5) / 4))
+        out.append((matrix, 0.5 - mean @ matrix + (random.random(matrix.shape[1]) - 0.5) / 4))
     return out
 
 
@@ -121,6 +121,8 @@ def _best(left: np.ndarray, right: np.ndarray, codes: np.ndarray, own: int, k: i
     sims = left @ right.T
     sims[np.arange(len(left)), own + np.arange(len(left))] = -2
     take = min(k, sims.shape[1] - 1)
+    if not take:
+        return np.zeros((len(left), 0), np.int64), np.zeros((len(left), 0), np.float32)
     at = np.argpartition(sims, sims.shape[1] - take, axis=1)[:, sims.shape[1] - take :]
     return codes[at], np.take_along_axis(sims, at, 1)
 

@@ -25,6 +25,8 @@ from tessella.session import spread
 
 #: Least share of all period-ended words for a word to be kept as evidence: at most 50,000 words.
 SHARE = 2e-5
+#: Share of the usual width that wrapped lines reach.
+_RAGGED = 0.8
 #: Least occurrences with a period.
 SEEN = 8
 #: Longest abbreviation, in characters.
@@ -43,14 +45,17 @@ _CLOSERS = "\"'”’»)]}）」』》】›"
 _OPENERS = "\"'“‘«„([{（「『《【‹¿¡"
 _PAIRS = {"“": "”", "«": "»", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》"}
 _BRACKETS = "([（"
+_QUOTING = {*_PAIRS, *_PAIRS.values(), "„", "‘", "’", '"'}
 _MARKS = re.compile(rf"[{re.escape(_END + _OWN_END)}|]+")
-_LIST_MARK = re.compile(r"(?:\d{1,3}[.)]|[A-Za-z][.)]|[-*•‣–])[ \t]+(?=\S)")
+_LIST_MARK = re.compile(r"(?:\d{1,3}[.)]|[a-z][.)]|[-*•‣–])[ \t]+(?=\S)")
 _LABEL = re.compile(r"[A-Z][A-Za-z]{0,14}:[ \t]")
 _LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\{\"|[ \t]+at [\w.$]+\(")
 _LINE = re.compile(r"[^\r\n\u2028\u2029\x85]*(?:\r\n|[\r\n\u2028\u2029\x85]|$)")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _DOTTED = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])([.!])[\"'”’»)\]]*(?=\s+[\"'“‘«„(\[¿¡]*(\S))")
 _FINAL = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])\.[\"'”’»)\]]*[ \t]*(?:\n[ \t]*\n|\n?\Z)")
+_STARTS = re.compile(r"(?<=[^\W\d_]{3})[ \u00a0]?([.!?]+)[ ]+([^\W\d_])(\w*)")
+_INNER = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])\.[ ]+(?=([^\W\d_]\w*))(?=[a-zà-ÿ])")
 _MONTH = re.compile(rf"(?:{MONTHS.replace(' ', '|')})\b")
 
 
@@ -103,7 +108,7 @@ _COUNTS = ["plain", "dotted", "lower", "upper", "digit", "caseless", "banged", "
 
 
 def corpus_evidence(documents: DataFrame, share: float = SHARE, seen: int = SEEN) -> dict[str, str]:
-    """{word: 'never' or 'may' end a sentence with its period, 'bang' for names written with '!'} over all texts."""
+    """{word: 'never' ends a sentence with its period, or 'bang' for names written with '!'} over all texts."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +129,7 @@ def corpus_evidence(documents: DataFrame, share: float = SHARE, seen: int = SEEN
     kind = (
         F.when((F.col("banged_lower") >= 0.9 * F.col("banged")) & (F.col("banged") >= seen) & (F.col("plain") <= 0.1 * F.col("banged")), "bang")
         .when((F.col("digit") >= 0.9 * F.col("dotted")) & (F.col("dotted") >= seen) & inner, "never")
-        .when(always & short & (F.col("dotted") >= seen), F.when(one_way & inner, "never").otherwise("may"))
+        .when(always & short & (F.col("dotted") >= seen) & one_way & inner, "never")
     )
     rows = kept.select("word", kind.alias("kind")).filter("kind IS NOT NULL AND length(word) > 1").collect()
     return {r["word"]: r["kind"] for r in rows}
@@ -141,37 +146,44 @@ class _Text:
         self.never, self.may = set(NEVER.split()), set(MAY.split())
         self.carry = set(CARRY_ON.split())
         self.months = _MONTH
-        ends = [m for m in re.finditer(r"(?<=[^\W\d_]{3})[ \u00a0]?[.!?]+[ ]+([^\W\d_])(\w*)", text)]
-        cased = [(m[1].islower() and not any(c.isupper() for c in m[2])) for m in ends if _case(m[1]) in "lu" and not self._abbreviation(self._word(m.start()))]
         first = re.match(r"\W*([^\W\d_])(\w*)", text)
         low_start = bool(first) and first[1].islower() and not any(c.isupper() for c in first[2])
-        low = sum(cased)
+        low = cased = 0
+        for m in _STARTS.finditer(text):
+            word = self._word(m.start())
+            if _case(m[2]) not in "lu" or self._abbreviation(word) or self.corpus.get(word.casefold()) == "bang":
+                continue
+            if m[1].startswith("..") and text[: m.start() - len(word)].rstrip(_OPENERS + " \n")[-1:] in {"", *_END}:
+                continue  # an interjection: "Well... it is"
+            cased += 1
+            low += m[2].islower() and not any(c.isupper() for c in m[3])
         #: Sentences begin in lower case here: casing tells nothing.
-        self.careless = low > 0 and (low >= 0.5 * len(cased) if low_start or len(cased) > 3 else low == len(cased) and low > 1)
-        # evidence within this text: words seen before a period and a lower-case word, and words seen without a period
+        self.careless = low > 0 and low >= (0.3 if low_start else 0.5) * cased
+        # evidence within this text: short words with a period before a lower-case word, never without a period
         self.own_abbreviations: set[str] = set()
         if not self.careless:
-            plain = None
-            for m in _DOTTED.finditer(text):
-                if m[2] == "." and _case(m[3]) == "l" and len(m[1]) <= LONGEST and not text[m.end() - 1 :].split(maxsplit=1)[0][1:].lower() != text[m.end() - 1 :].split(maxsplit=1)[0][1:]:
+            plain: Counter[str] | None = None
+            for m in _INNER.finditer(text):
+                if len(m[1]) <= 5 and not any(c.isupper() for c in m[2]):
                     plain = plain if plain is not None else Counter(w.strip(_OPENERS + _CLOSERS + ",;:!?") for w in text.split())
                     if not plain[m[1]]:
                         self.own_abbreviations.add(m[1].casefold())
+        marked = sum(1 for line in text.split("\n") if _LIST_MARK.match(line.lstrip()))
+        #: Lines that open with a mark are items of a list here, not wrapped text that begins with a number.
+        self.listed = marked >= 2 and marked >= 0.3 * sum(1 for line in text.split("\n") if line.strip())
 
-    def _word(self, end: int) -> str:
-        """The word that ends at ``end``."""
+    def _word(self, end: int, begin: int = 0) -> str:
+        """The word that ends at ``end``, not reaching before ``begin``."""
         start = end
         text = self.text
-        while start > 0 and end - start < 24 and not text[start - 1].isspace() and text[start - 1] not in _OPENERS + "）。，、/-":
+        while start > begin and end - start < 24 and not text[start - 1].isspace() and text[start - 1] not in _OPENERS + "）。，、/-":
             start -= 1
         return text[start:end]
 
     def _abbreviation(self, word: str) -> str:
         """'never', 'may' or '' for an ordinary word."""
         key = word.casefold()
-        if (kind := self.corpus.get(key)) in ("never", "may"):
-            return kind
-        if key in self.never:
+        if self.corpus.get(key) == "never" or key in self.never:
             return "never"
         if key in self.may:
             return "may"
@@ -202,7 +214,8 @@ class _Text:
         text = self.text
         lines = [(m.start(), m.start() + len(m[0].rstrip("\r\n\u2028\u2029\x85"))) for m in _LINE.finditer(text) if m.end() > m.start()]
         widths = [len(text[a:b].rstrip()) for a, b in lines]
-        width = max((w for w, after in zip(widths, [*widths[1:], 0]) if w and after), default=0)
+        broken = sorted(w for w, after in zip(widths, [*widths[1:], 0]) if w and after)
+        width = broken[len(broken) // 2] if broken else 0  # of lines that another line follows
         start = None
         for i, (a, b) in enumerate(lines):
             if not text[a:b].strip():
@@ -225,34 +238,40 @@ class _Text:
         if _LOG.match(this) or _LOG.match(previous):
             return False
         bare = this.lstrip()
-        if _LIST_MARK.match(bare) or _LABEL.match(bare):
-            return False
         word = bare.split(maxsplit=1)[0]
-        wrapped = width <= 120 and len(previous) + 1 + len(word) > width and len(previous) >= 24
+        wrapped = 24 <= width <= 120 and len(previous) >= _RAGGED * width
+        if _LABEL.match(bare):
+            return False
+        if _LIST_MARK.match(bare) and (self.listed or not wrapped or (previous[-1] in _END + _OWN_END and not self._abbreviation(self._word(len(text[: before[1]].rstrip()) - 1)))):
+            return False
         return wrapped or (_case(word[0]) == "l" and not self.careless and previous[-1:] not in _END + _OWN_END)
 
     def _pairs(self, start: int, end: int) -> dict[int, int]:
-        """{opening: closing} of quotes and brackets within start:end, outermost only."""
-        text, out, stack = self.text, {}, []
-        i = start
-        while i < end:
+        """{opening: closing} of quotes and brackets within start:end, outermost only; what never closes counts for nothing."""
+        text, found, stack = self.text, [], []
+        for i in range(start, end):
             c = text[i]
-            if stack and c == stack[-1][0]:
-                opened = stack.pop()[1]
-                if not stack:
-                    out[opened] = i
+            if c not in _QUOTING:
+                continue
+            if c == "’" and 0 < i < end - 1 and text[i - 1].isalpha() and text[i + 1].isalpha():
+                continue  # an apostrophe
+            depth = next((k for k in range(1, min(len(stack), 8) + 1) if stack[-k][0] == c), 0)
+            if depth:
+                found.append((stack[-depth][1], i))
+                del stack[-depth:]
             elif c in _PAIRS:
                 stack.append((_PAIRS[c], i))
             elif c == "„":
                 stack.append(("“" if "“" in text[i + 1 : end] else "”", i))
             elif c == "‘":
                 stack.append(("’", i))
-            elif c == '"' and not any(close == '"' for close, _ in stack):
+            elif c == '"':
                 stack.append(('"', i))
-            i += 1
-        if stack:  # something never closes: take what closes after it on its own
-            first = stack[0][1]
-            out = {a: b for a, b in out.items() if a < first} | self._pairs(first + 1, end)
+        out: dict[int, int] = {}
+        reach = -1
+        for opened, closed in sorted(found):
+            if opened > reach:
+                out[opened], reach = closed, closed
         return out
 
     def _sentences(self, start: int, end: int) -> list[tuple[int, int]]:
@@ -391,7 +410,7 @@ class _Text:
             return None
         ellipsis = marks.startswith("..") or "…" in marks
         dot = marks == "."
-        word = self._word(first)
+        word = self._word(first, begin)
         if not nearest.isspace():
             return stop if self._glued(word, previous, stop, end, dot) else None
         case, following, opener = self._following(stop, end)
