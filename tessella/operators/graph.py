@@ -107,20 +107,3 @@ def co_occurrence(mentions: DataFrame, group: str, item: str, least: int = 1) ->
     sets = mentions.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("_items"))
     pairs = F.flatten(F.transform("_items", lambda a: F.transform(F.filter("_items", lambda b: b > a), lambda b: F.struct(a.alias("item_a"), b.alias("item_b")))))
     return sets.select(F.explode(pairs).alias("_p")).groupBy("_p.item_a", "_p.item_b").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
-
-
-def same_group_partners(members: DataFrame, key: str, group: list[str], n: int) -> DataFrame:
-    """(key, partner, place): the next ``n`` members of the same group in key order, wrapping around.
-
-    Documents related through a hub: every member would pair with every other, so each gets a
-    bounded, even share of partners instead, by one window.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*group).orderBy(key)
-    firsts = members.withColumn("_i", F.row_number().over(w))
-    heads = firsts.filter(F.col("_i") <= n).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", key))), lambda x: x[key]).alias("_heads"))
-    later = F.collect_list(key).over(w.rowsBetween(1, n))
-    joined = members.withColumn("_later", later).join(heads, group)
-    partners = F.slice(F.filter(F.array_distinct(F.concat("_later", "_heads")), lambda x: x != F.col(key)), 1, n)
-    return joined.select(key, *group, F.posexplode(partners).alias("place", "partner"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import graphs, knowledge, reading, relational, retrieval, streams, texts
+from tessella.plans import files, graphs, knowledge, reading, relational, retrieval, streams, texts
 
-MODULES = [knowledge, relational, texts, retrieval, graphs, reading, streams]
+MODULES = [knowledge, relational, texts, retrieval, graphs, reading, streams, files]
 
 
 def catalogue() -> dict:
