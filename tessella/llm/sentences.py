@@ -38,7 +38,7 @@ MAY = "etc usw p.m a.m ltd inc co u.k u.s"
 # Month names after a day number with a period.
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
 # Words that carry a sentence on after a quotation or bracket, where no casing tells.
-CARRY_ON = "and or but nor in on at to of for from with by as is was are were asked said says wrote replied sagte fragte und in dit a dijo y"
+CARRY_ON = "and or but nor in on at to of for from with by asked said says wrote replied sagte fragte und dit dijo y"
 
 _END, _OWN_END = ".!?…", "。！？｡।॥۔؟"
 _CLOSERS = "\"'”’»)]}）」』》】›"
@@ -49,12 +49,15 @@ _QUOTING = {*_PAIRS, *_PAIRS.values(), "„", "‘", "’", '"'}
 _MARKS = re.compile(rf"[{re.escape(_END + _OWN_END)}|]+")
 _LIST_MARK = re.compile(r"(?:\d{1,3}[.)]|[a-z][.)]|[-*•‣–])[ \t]+(?=\S)")
 _LABEL = re.compile(r"[A-Z][A-Za-z]{0,14}:[ \t]")
+_LEAD = re.compile(rf"^(?:{_LIST_MARK.pattern}|{_LABEL.pattern}|(?:[-*•‣–]|\d{{1,3}}[.)]|[a-z][.)])[ \t]*$)")
 _LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\{\"|[ \t]+at [\w.$]+\(")
 _LINE = re.compile(r"[^\r\n\u2028\u2029\x85]*(?:\r\n|[\r\n\u2028\u2029\x85]|$)")
 _THAI = re.compile("[\u0e00-\u0e7f]")
+_CLAUSE_END = re.compile("(?<=[\u0e00-\u0e7f])[ \u00a0]+|(?<=\\d [A-Z]B)[ \u00a0]+|(?<=\\d[A-Z]B)[ \u00a0]+")
+_UNIT = re.compile(r"(?:[KMGT]B|[KMG]bps|%|km|kg|cm|mm|ms)$")
 _DOTTED = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])([.!])[\"'”’»)\]]*(?=\s+[\"'“‘«„(\[¿¡]*(\S))")
 _FINAL = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])\.[\"'”’»)\]]*[ \t]*(?:\n[ \t]*\n|\n?\Z)")
-_STARTS = re.compile(r"(?<=[^\W\d_]{3})[ \u00a0]?([.!?]+)[ ]+([^\W\d_])(\w*)")
+_STARTS = re.compile(r"(?:(?<=[^\W\d_]{3})|(?<=\d))[ \u00a0]?([.!?]+)[ ]+([^\W\d_])(\w*)")
 _INNER = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])\.[ ]+(?=([^\W\d_]\w*))(?=[a-zà-ÿ])")
 _MONTH = re.compile(rf"(?:{MONTHS.replace(' ', '|')})\b")
 
@@ -164,7 +167,7 @@ class _Text:
         if not self.careless:
             plain: Counter[str] | None = None
             for m in _INNER.finditer(text):
-                if len(m[1]) <= 5 and not any(c.isupper() for c in m[2]):
+                if len(m[1]) <= 3 and not any(c.isupper() for c in m[2]):
                     plain = plain if plain is not None else Counter(w.strip(_OPENERS + _CLOSERS + ",;:!?") for w in text.split())
                     if not plain[m[1]]:
                         self.own_abbreviations.add(m[1].casefold())
@@ -242,7 +245,9 @@ class _Text:
         wrapped = 24 <= width <= 120 and len(previous) >= _RAGGED * width
         if _LABEL.match(bare):
             return False
-        if _LIST_MARK.match(bare) and (self.listed or not wrapped or (previous[-1] in _END + _OWN_END and not self._abbreviation(self._word(len(text[: before[1]].rstrip()) - 1)))):
+        last = self._word(before[0] + len(text[before[0] : before[1]].rstrip()) - 1, before[0])
+        ended = previous[-1] in _END + _OWN_END and len(last) != 1 and not self._abbreviation(last)
+        if _LIST_MARK.match(bare) and (self.listed or not wrapped or ended):
             return False
         return wrapped or (_case(word[0]) == "l" and not self.careless and previous[-1:] not in _END + _OWN_END)
 
@@ -315,14 +320,19 @@ class _Text:
         return out
 
     def _thai_break(self, begin: int, start: int, stop: int) -> int | None:
-        """A space between Thai clauses, none of whose sides is a number with its unit."""
+        """A space after a Thai clause, or after its unit, unless a number and its unit follow."""
         text = self.text
         if not _THAI.search(text, begin, stop):
             return None
-        for m in re.finditer(r"(\S*[\u0e00-\u0e7f]|\d[ ]?(?:[A-Z]{2}))[ \u00a0]+(?=[\u0e00-\u0e7f])", text[:stop]):
-            if m.end() <= start or m.end() <= begin:
+        for m in _CLAUSE_END.finditer(text, start, stop):
+            if m.end() <= begin:
                 continue
-            return m.end()
+            after = text[m.end() : m.end() + 80].split("\n", 1)[0]
+            if _THAI.match(after):
+                return m.end()
+            words = [w.strip(_OPENERS + _CLOSERS + ",.;:!?…") for w in after.split()[:3]]
+            if len(words) == 3 and not _THAI.search("".join(words)) and not _UNIT.match(words[1]) and sum(any(c.isalpha() for c in w) for w in words) >= 2:
+                return m.end()  # a sentence of another language
         return None
 
     def _absorb(self, at: int, end: int) -> int:
@@ -365,7 +375,7 @@ class _Text:
     def _after_closing(self, begin: int, opened: int, close: int, end: int) -> int | None:
         """The end of the sentence at a closing quote or bracket with an end mark before it."""
         text = self.text
-        if text[opened] in _BRACKETS and text[begin:opened].strip():
+        if text[opened] in _BRACKETS and _LEAD.sub("", text[begin:opened].lstrip()).strip():
             return None  # a bracket inside a sentence
         inner = close - 1
         while inner > opened and text[inner].isspace():
@@ -428,35 +438,31 @@ class _Text:
                 return None
             return None if self.months.match(following) and len(word) <= 2 else stop
         if len(word) == 1 and word.isalpha():
-            return self._initial(begin, first, word, case, following, stop)
+            return self._initial(begin, first, word, case, stop)
         kind = self._abbreviation(word)
         if kind == "never":
             return None
         if case == "l":
-            if kind or not self.careless:
-                return None if kind != "may" or not self.careless else stop
-            return stop
+            if kind or word.casefold() in self.own_abbreviations:
+                return stop if kind == "may" and self.careless else None
+            return stop if self.careless or (len(word) >= 4 and not opener) else None  # a word, not an abbreviation
         if not kind and word.casefold() in self.own_abbreviations:
             return None
         return stop
 
-    def _initial(self, begin: int, first: int, word: str, case: str, following: str, stop: int) -> int | None:
+    def _initial(self, begin: int, first: int, word: str, case: str, stop: int) -> int | None:
         """A single letter and a period: an initial, unless it ends a name such as a plan's size."""
-        if case in "ld" or len(following) == 1:
-            return None if not (self.careless and word.isupper() and len(following) > 1 and case == "l") else stop
         before = self.text[begin : first - 1].split()
-        if not before or case == "o":
-            return None
-        last = before[-1]
-        if re.fullmatch(r"\W*[^\W\d_]\.", last):
-            return None
-        return stop if word.isupper() and last[:1].isupper() and len(before) > 1 else None
+        named = word.isupper() and len(before) > 1 and before[-1][:1].isupper() and not before[-1].endswith(".")
+        if case == "l":
+            return stop if named and self.careless else None
+        return stop if named and case != "o" else None
 
     def _glued(self, word: str, previous: str, stop: int, end: int, dot: bool) -> bool:
         """Whether a sentence ends although no space follows."""
         text = self.text
         nearest, after = text[stop], text[stop + 1 : stop + 2]
-        letters = len(word) >= 2 and word[-2:].isalpha() or previous in _CLOSERS
+        letters = len(word) >= 2 or previous in _CLOSERS
         if _cjk(nearest):
             return not _cjk(previous) or not dot
         if "@" in word or "/" in word or "www" in word:
@@ -467,7 +473,7 @@ class _Text:
         if case == "u":
             return (letters and (after.islower() or after.isspace() or after in ".G") or not dot) and "." not in word
         if case == "o":
-            return (letters and not self._abbreviation(word)) or not dot
+            return (letters and word[-2:].isalpha() and not self._abbreviation(word)) or not dot
         return False
 
 
