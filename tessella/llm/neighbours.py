@@ -174,7 +174,8 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
                     continue
                 order, codes, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
                 packed = batch.column(4)
-                raw = np.frombuffer(b"".join(packed.to_pylist()), "<i2").reshape(-1, dim)
+                first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]  # all are of one length
+                raw = np.frombuffer(packed.buffers()[2], "<i2", len(packed) * dim, int(first)).reshape(-1, dim)
                 unit = raw.astype(np.float32) * (scale / 32767)[:, None]
                 edges = [0, *(np.flatnonzero(np.diff(order)) + 1), len(order)]
                 for a, b in zip(edges, edges[1:]):
@@ -207,12 +208,16 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
             sizes = rows["near"].map(len).to_numpy()
             if not sizes.sum():
                 return pd.DataFrame({"code": [], "neighbour": [], "similarity": [], "rank": []})
-            code, near, sims = np.repeat(rows["code"].to_numpy(), sizes), np.concatenate(rows["near"].to_numpy()), np.concatenate(rows["sims"].to_numpy())
-            pairs = pd.DataFrame({"code": code, "neighbour": near, "similarity": sims.astype(np.float64)})
-            pairs = pairs.sort_values(["code", "neighbour", "similarity"], ascending=[True, True, False]).drop_duplicates(["code", "neighbour"])
-            pairs = pairs.sort_values(["code", "similarity", "neighbour"], ascending=[True, False, True])
-            pairs["rank"] = pairs.groupby("code").cumcount() + 1
-            return pairs[pairs["rank"] <= k]
+            code, near, sims = np.repeat(rows["code"].to_numpy(), sizes), np.concatenate(rows["near"].to_numpy()), np.concatenate(rows["sims"].to_numpy()).astype(np.float64)
+            order = np.lexsort((near, code))
+            code, near, sims = code[order], near[order], sims[order]
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (near[1:] != near[:-1])])  # found by several orderings
+            code, near, sims = code[first], near[first], np.maximum.reduceat(sims, first)
+            order = np.lexsort((near, -sims, code))
+            code, near, sims = code[order], near[order], sims[order]
+            rank = np.arange(len(code)) - np.searchsorted(code, code) + 1
+            kept = rank <= k
+            return pd.DataFrame({"code": code[kept], "neighbour": near[kept], "similarity": sims[kept], "rank": rank[kept].astype(np.int32)})
 
         held: pd.DataFrame | None = None
         for batch in batches:
