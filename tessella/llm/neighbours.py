@@ -28,11 +28,11 @@ from tessella.operators.orphan_refs import dictionary
 class Curves:
     """Parameters: orderings, projected dimensions, bits each, rows per window, principal axes used."""
 
-    orderings: int = 12
+    orderings: int = 8
     axes: int = 8
     bits: int = 6
-    window: int = 1024
-    principal: int = 32
+    window: int = 2048
+    principal: int = 20
     seed: int = 20
 
 
@@ -116,15 +116,21 @@ def _projections(mean: np.ndarray, covariance: np.ndarray, curves: Curves) -> li
     return out
 
 
+#: Rows compared at once: keeps the inner products in the processor's cache.
+_SLICE = 256
+
+
 def _best(left: np.ndarray, right: np.ndarray, codes: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For rows of ``left``: codes and similarities of the k best of ``right``, best first; row i is ``right[own + i]``."""
-    sims = left @ right.T
-    sims[np.arange(len(left)), own + np.arange(len(left))] = -2
-    take = min(k, sims.shape[1] - 1)
-    if not take:
-        return np.zeros((len(left), 0), np.int64), np.zeros((len(left), 0), np.float32)
-    at = np.argpartition(sims, sims.shape[1] - take, axis=1)[:, sims.shape[1] - take :]
-    return codes[at], np.take_along_axis(sims, at, 1)
+    take = min(k, len(right) - 1)
+    near, best = np.zeros((len(left), take), np.int64), np.zeros((len(left), take), np.float32)
+    for i in range(0, len(left) if take else 0, _SLICE):
+        sims = left[i : i + _SLICE] @ right.T
+        rows = np.arange(len(sims))
+        sims[rows, own + i + rows] = -2
+        at = np.argpartition(sims, sims.shape[1] - take, axis=1)[:, sims.shape[1] - take :]
+        near[i : i + _SLICE], best[i : i + _SLICE] = codes[at], np.take_along_axis(sims, at, 1)
+    return near, best
 
 
 def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curves = Curves()) -> DataFrame:
