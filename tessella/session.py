@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +34,24 @@ def settle(spark: SparkSession) -> SparkSession:
     rows then came out wrong (seen in 4.1.2: one branch's ranks under another's label), so this is off.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context: their Python need not find it by itself."""
+    context = spark.sparkContext
+    if getattr(context, "_tessella_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tessella-code-")) / "tessella.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tessella_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared ``spark.checkpoint.dir``; a local folder only where none is named."""
     context = spark.sparkContext
