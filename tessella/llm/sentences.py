@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import spread
+from tessella.session import ensure_checkpoint_dir, spread
 
 #: Least share of all period-ended words for a word to be kept as evidence: at most 50,000 words.
 SHARE = 2e-5
@@ -119,9 +119,10 @@ def corpus_evidence(documents: DataFrame, share: float = SHARE, seen: int = SEEN
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["word", *_COUNTS])
 
+    ensure_checkpoint_dir(documents.sparkSession)
     schema = "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
     words = spread(documents.select("text").filter("text IS NOT NULL")).mapInArrow(counts, schema)
-    totals = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]).filter("dotted > 0 OR banged > 0")
+    totals = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]).filter("dotted > 0 OR banged > 0").checkpoint()  # used twice below
     marked = F.col("dotted") + F.col("banged")
     every = totals.agg(F.sum(marked).alias("every"))
     kept = totals.join(F.broadcast(every), marked >= F.greatest(F.lit(seen), F.lit(share) * F.col("every")), "inner")
