@@ -55,10 +55,10 @@ _LINE = re.compile(r"[^\r\n\u2028\u2029\x85]*(?:\r\n|[\r\n\u2028\u2029\x85]|$)")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _CLAUSE_END = re.compile("(?<=[\u0e00-\u0e7f])[ \u00a0]+|(?<=\\d [A-Z]B)[ \u00a0]+|(?<=\\d[A-Z]B)[ \u00a0]+")
 _UNIT = re.compile(r"(?:[KMGT]B|[KMG]bps|%|km|kg|cm|mm|ms)$")
-_DOTTED = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])([.!])[\"'”’»)\]]*(?=\s+[\"'“‘«„(\[¿¡]*(\S))")
-_FINAL = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])\.[\"'”’»)\]]*[ \t]*(?:\n[ \t]*\n|\n?\Z)")
+_DOTTED = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])([.!])[\"'”’»)\]]*(?=\s+[\"'“‘«„(\[¿¡]*(\S))")
+_FINAL = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])\.[\"'”’»)\]]*[ \t]*(?:\n[ \t]*\n|\n?\Z)")
 _STARTS = re.compile(r"(?:(?<=[^\W\d_]{3})|(?<=\d))[ \u00a0]?([.!?]+)[ ]+([^\W\d_])(\w*)")
-_INNER = re.compile(r"([^\s\"'“‘«„(\[（]*[^\W\d_])\.[ ]+(?=([^\W\d_]\w*))(?=[a-zà-ÿ])")
+_INNER = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,2}[^\W\d_])\.[ ]+(?=([^\W\d_]\w*))(?=[a-zà-ÿ])")
 _MONTH = re.compile(rf"(?:{MONTHS.replace(' ', '|')})\b")
 
 
