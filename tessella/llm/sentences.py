@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ _CLOSERS = "\"'”’»)]}）」』》】›"
 _OPENERS = "\"'“‘«„([{（「『《【‹¿¡"
 _PAIRS = {"“": "”", "«": "»", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》"}
 _BRACKETS = "([（"
+_WORD_EDGES = frozenset(_OPENERS + "）。，、/- \n\t")
 _QUOTING = {*_PAIRS, *_PAIRS.values(), "„", "‘", "’", '"'}
 _MARKS = re.compile(rf"[{re.escape(_END + _OWN_END)}|]+")
 _LIST_MARK = re.compile(r"(?:\d{1,3}[.)]|[a-z][.)]|[-*•‣–])[ \t]+(?=\S)")
@@ -57,7 +59,7 @@ _CLAUSE_END = re.compile("(?<=[\u0e00-\u0e7f])[ \u00a0]+|(?<=\\d [A-Z]B)[ \u00a0
 _UNIT = re.compile(r"(?:[KMGT]B|[KMG]bps|%|km|kg|cm|mm|ms)$")
 _DOTTED = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])([.!])[\"'”’»)\]]*(?=\s+[\"'“‘«„(\[¿¡]*(\S))")
 _FINAL = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])\.[\"'”’»)\]]*[ \t]*(?:\n[ \t]*\n|\n?\Z)")
-_STARTS = re.compile(r"(?:(?<=[^\W\d_]{3})|(?<=\d))[ \u00a0]?([.!?]+)[ ]+([^\W\d_])(\w*)")
+_STARTS = re.compile(r"([.!?]+)[ ]+([^\W\d_])(\w*)")
 _INNER = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,2}[^\W\d_])\.[ ]+(?=([^\W\d_]\w*))(?=[a-zà-ÿ])")
 _MONTH = re.compile(rf"(?:{MONTHS.replace(' ', '|')})\b")
 
@@ -154,10 +156,13 @@ class _Text:
         low_start = bool(first) and first[1].islower() and not any(c.isupper() for c in first[2])
         low = cased = 0
         for m in _STARTS.finditer(text):
-            word = self._word(m.start())
+            at = m.start() - (text[m.start() - 1 : m.start()] in (" ", "\u00a0"))
+            if not (text[at - 1 : at].isdigit() or (at > 2 and text[at - 3 : at].isalpha())):
+                continue
+            word = self._word(at)
             if _case(m[2]) not in "lu" or self._abbreviation(word) or self.corpus.get(word.casefold()) == "bang":
                 continue
-            if m[1].startswith("..") and text[: m.start() - len(word)].rstrip(_OPENERS + " \n")[-1:] in {"", *_END}:
+            if m[1].startswith("..") and text[: at - len(word)].rstrip(_OPENERS + " \n")[-1:] in {"", *_END}:
                 continue  # an interjection: "Well... it is"
             cased += 1
             low += m[2].islower() and not any(c.isupper() for c in m[3])
@@ -168,19 +173,24 @@ class _Text:
         if not self.careless:
             plain: Counter[str] | None = None
             for m in _INNER.finditer(text):
-                if len(m[1]) <= 3 and not any(c.isupper() for c in m[2]):
+                if len(m[1]) <= 3 and not any(c.isupper() for c in m[2]) and not self._abbreviation(m[1]):
                     plain = plain if plain is not None else Counter(w.strip(_OPENERS + _CLOSERS + ",;:!?") for w in text.split())
                     if not plain[m[1]]:
                         self.own_abbreviations.add(m[1].casefold())
-        marked = sum(1 for line in text.split("\n") if _LIST_MARK.match(line.lstrip()))
-        #: Lines that open with a mark are items of a list here, not wrapped text that begins with a number.
-        self.listed = marked >= 2 and marked >= 0.3 * sum(1 for line in text.split("\n") if line.strip())
+        self.thai = bool(_THAI.search(text))
+
+    @cached_property
+    def listed(self) -> bool:
+        """Lines that open with a mark are items of a list here, not wrapped text that begins with a number."""
+        lines = [line for line in self.text.split("\n") if line.strip()]
+        marked = sum(1 for line in lines if _LIST_MARK.match(line.lstrip()))
+        return marked >= 2 and marked >= 0.3 * len(lines)
 
     def _word(self, end: int, begin: int = 0) -> str:
         """The word that ends at ``end``, not reaching before ``begin``."""
-        start = end
-        text = self.text
-        while start > begin and end - start < 24 and not text[start - 1].isspace() and text[start - 1] not in _OPENERS + "）。，、/-":
+        start, text = end, self.text
+        least = max(begin, end - 24)
+        while start > least and text[start - 1] not in _WORD_EDGES and not text[start - 1].isspace():
             start -= 1
         return text[start:end]
 
@@ -323,7 +333,7 @@ class _Text:
     def _thai_break(self, begin: int, start: int, stop: int) -> int | None:
         """A space after a Thai clause, or after its unit, unless a number and its unit follow."""
         text = self.text
-        if not _THAI.search(text, begin, stop):
+        if not self.thai or not _THAI.search(text, begin, stop):
             return None
         for m in _CLAUSE_END.finditer(text, start, stop):
             if m.end() <= begin:
