@@ -41,9 +41,11 @@ def _day(c: str) -> Column:
 # --- scans ----------------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey, c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def scan_s02_table(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "nation").join(table(spark, base, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    """Whole tables, only the columns asked for."""
+    places = table(spark, base, "nation").join(table(spark, base, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return table(spark, base, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name", "r_name")
 
 
 @query("SELECT customer_id, name, circle, account_type FROM customer_master WHERE CAST(customer_id AS VARCHAR) = '7' ORDER BY loaded_at LIMIT 1")

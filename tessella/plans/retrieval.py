@@ -206,11 +206,11 @@ def ret_r15_rerank(spark: SparkSession, base: str) -> DataFrame:
     return modes[0].unionByName(modes[1]).unionByName(modes[2])
 
 
-@query(_knn_sql(10) + """ SELECT DISTINCT query_id, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END source_corpus, CAST(id // 5 AS BIGINT) document_id FROM near""")
+@query(_knn_sql(10) + """ SELECT DISTINCT query_id, CASE WHEN label < 5 THEN 'first' ELSE 'second' END source_corpus, CAST(id // 5 AS BIGINT) document_id FROM near""")
 def ret_r20_combined_corpus(spark: SparkSession, base: str) -> DataFrame:
     """Two indexes joined into one, searched once, then distinct documents."""
     vectors = _vectors(spark, base)
-    halves = [vectors.filter(f"id % 2 = {r}").withColumn("source_corpus", F.lit(n)) for r, n in ((0, "even"), (1, "odd"))]
+    halves = [vectors.filter(rule).withColumn("source_corpus", F.lit(n)) for rule, n in (("label < 5", "first"), ("NOT label < 5", "second"))]
     both = halves[0].unionByName(halves[1], allowMissingColumns=True)
     near = V.nearest(_asked(vectors), both, 11).filter("query_id <> id").drop("rank")
     near = ranking.top_n(near, ["query_id"], [F.col("score").desc(), F.col("id").asc()], 10)
