@@ -122,6 +122,14 @@ def block_hashes(ids: np.ndarray, length: int) -> np.ndarray:
         return ((total ^ (total >> np.uint64(31))) * _PRIME).astype(np.int64)
 
 
+def _blocks(source: list, hashes: list, lengths: list, documents: list, lines: list) -> pd.DataFrame:
+    """A frame of blocks whose columns have their types even if it is empty."""
+    return pd.DataFrame({
+        "source": pd.Series(source, dtype=object), "hash": pd.Series(hashes, dtype="int64"), "length": pd.Series(lengths, dtype="int32"),
+        "documents": pd.Series(documents, dtype="int64"), "lines": pd.Series(lines, dtype=object),
+    })
+
+
 def _occurrences(docs: pd.DataFrame, blocks: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """(start, hash, length) of each occurrence of ``blocks``, compared line by line; and document and left of all lines."""
     ids, doc, left = _joined(docs)
@@ -163,11 +171,11 @@ def frequent_blocks(dealt: DataFrame, share: float, least: int) -> DataFrame:
         ids, doc, left = _joined(docs)
         blocks = repeated_blocks(ids, doc, left, local)
         rows = [ids[i : i + n] for i, n in blocks]
-        return pd.DataFrame({"source": docs["source"].iloc[0], "hash": [block_hashes(r, len(r))[0] for r in rows], "length": [len(r) for r in rows], "documents": list(blocks.values()), "lines": rows})
+        return _blocks([docs["source"].iloc[0]] * len(rows), [block_hashes(r, len(r))[0] for r in rows], [len(r) for r in rows], list(blocks.values()), rows)
 
     def count(docs: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or blocks.empty:
-            return pd.DataFrame({"source": [], "hash": [], "length": [], "documents": [], "lines": []})
+            return _blocks([], [], [], [], [])
         at, doc, _ = _occurrences(docs, blocks)
         seen = pd.DataFrame({"hash": at["hash"].to_numpy(), "length": at["length"].to_numpy(), "doc": doc[at["start"].to_numpy(np.int64)]}).drop_duplicates()
         counts = seen.groupby(["hash", "length"]).size().rename("documents").reset_index()
@@ -199,7 +207,7 @@ def repeated_lines(documents: DataFrame, share: float = 0.1, least: int = 4, sha
 
     def covered(docs: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or blocks.empty:
-            return pd.DataFrame({"source": [], "id": [], "line_no": []})
+            return pd.DataFrame({"source": pd.Series(dtype=object), "id": pd.Series(dtype=object), "line_no": pd.Series(dtype="int64")})
         at, doc, left = _occurrences(docs, blocks)
         change = np.zeros(len(doc) + 1, np.int64)
         np.add.at(change, at["start"].to_numpy(np.int64), 1)

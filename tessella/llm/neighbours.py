@@ -213,7 +213,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
         def best(rows: pd.DataFrame) -> pd.DataFrame:
             sizes = rows["near"].map(len).to_numpy()
             if not sizes.sum():
-                return pd.DataFrame({"code": [], "neighbour": [], "similarity": [], "rank": []})
+                return pd.DataFrame({"code": [], "neighbour": [], "similarity": [], "rank": []}).astype({"code": "int64", "neighbour": "int64", "rank": "int32"})
             code, near, sims = np.repeat(rows["code"].to_numpy(), sizes), np.concatenate(rows["near"].to_numpy()), np.concatenate(rows["sims"].to_numpy()).astype(np.float64)
             order = np.lexsort((near, code))
             code, near, sims = code[order], near[order], sims[order]

@@ -86,3 +86,10 @@ def test_cleaning_and_empty(spark):
     clean = {r["id"]: r["content"] for r in B.without_lines(docs.select("id", "content"), gone).collect()}
     assert clean["d0"] == "Intro ab word\nlast a one" and clean["n"] is None
     assert B.repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_sources_without_repeats(spark):
+    docs = documents(spark, [("a", "S", "one"), ("b", "S", "two"), ("c", "T", None), ("d", "U", "x\ny"), ("e", "U", "x\nz")])
+    assert B.repeated_lines(docs).count() == 0
+    assert B.frequent_blocks(B.shards(docs), 0.1, 4).count() == 0
+    assert {(r["id"], r["line_no"]) for r in B.repeated_lines(docs, 0.1, 2).collect()} == {("d", 1), ("e", 1)}
