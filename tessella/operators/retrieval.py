@@ -27,7 +27,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": left["query_id"].iloc[:0], "id": right["id"].iloc[:0], "score": pd.Series(dtype="float64")})
         right = right.sort_values("id", ignore_index=True)
         scores = np.stack(left["_vector"].to_list()) @ np.stack(right["_vector"].to_list()).T
         at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -55,7 +55,7 @@ def nearest_pages(queries: DataFrame, pages: DataFrame, k: int, block: int = 512
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": left["query_id"].iloc[:0], "id": right["id"].iloc[:0], "score": pd.Series(dtype="float64")})
         right = right.sort_values("id", ignore_index=True)
         (a, a_at), (b, b_at) = stacked(left), stacked(right)
         scores = np.add.reduceat(np.maximum.reduceat(a @ b.T, b_at, axis=1), a_at, axis=0)

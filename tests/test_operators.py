@@ -78,6 +78,9 @@ def test_nearest_in_blocks(spark):
             assert order[r["rank"] - 1][1] == r["id"]
         assert len(got) == 24
     assert V.nearest(q.limit(0), v, 4).count() == 0
+    named = v.filter("id < 5").select(F.concat(F.lit("v"), F.col("id")).alias("id"), "embedding")
+    asked = named.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    assert V.nearest(asked, named, 2, 1).count() == 10  # more blocks than rows hit: some are empty
 
 
 def test_chunk_golden(spark):
