@@ -62,7 +62,7 @@ def graph_j19_dangling(spark: SparkSession, base: str) -> DataFrame:
 @query(f"{_GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) n_nodes, (SELECT count(*) FROM edges) n_edges, round(2.0 * (SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes), 4)::DOUBLE average_degree")
 def graph_a15_stats(spark: SparkSession, base: str) -> DataFrame:
     n, e = _nodes(spark, base).agg(F.count(F.lit(1)).alias("n_nodes")), _edges(spark, base).agg(F.count(F.lit(1)).alias("n_edges"))
-    return n.join(F.broadcast(e)).select("n_nodes", "n_edges", F.round(2 * F.col("n_edges") / F.col("n_nodes"), 4).alias("average_degree"))
+    return n.join(F.broadcast(e)).select("n_nodes", "n_edges", F.round(F.try_divide(2 * F.col("n_edges"), F.col("n_nodes")), 4).alias("average_degree"))
 
 
 @query(f"{_GRAPH_SQL}, ends AS (SELECT src id, type FROM edges UNION ALL SELECT dst, type FROM edges) SELECT id, count(*) degree, count(DISTINCT type) n_types FROM ends WHERE id NOT LIKE 'Plan%' GROUP BY 1 ORDER BY degree DESC, id LIMIT 15")
