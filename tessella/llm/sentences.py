@@ -1,8 +1,9 @@
 """Sentence boundaries in texts of many languages and scripts.
 
 Whether a period ends a sentence is settled by what the text itself shows (its casing, its quotes
-and brackets, words it uses with and without a period), then by the same evidence over the whole
-corpus, then by a short list. Scripts with their own end marks or with spaces as boundaries have
+and brackets, words it uses with and without a period, words it capitalises inside sentences or
+writes in lower case), then, where these show nothing, by the same evidence over the whole corpus
+and by a short list. Scripts with their own end marks or with spaces as boundaries have
 rules of their own.
 
 The corpus evidence is one aggregate over all documents. A word enters it only if it makes up at
@@ -28,6 +29,8 @@ from tessella.session import ensure_checkpoint_dir, spread
 SHARE = 2e-5
 #: Share of the usual width that wrapped lines reach.
 _RAGGED = 0.8
+#: Share of capitals within sentences from which on they mark nouns of all kinds, not names.
+_NOUNS = 0.2
 #: Least occurrences with a period.
 SEEN = 8
 #: Longest abbreviation, in characters.
@@ -60,7 +63,7 @@ _UNIT = re.compile(r"(?:[KMGT]B|[KMG]bps|%|km|kg|cm|mm|ms)$")
 _DOTTED = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])([.!])[\"'”’»)\]]*(?=\s+[\"'“‘«„(\[¿¡]*(\S))")
 _FINAL = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])\.[\"'”’»)\]]*[ \t]*(?:\n[ \t]*\n|\n?\Z)")
 _STARTS = re.compile(r"([.!?]+)[ ]+([^\W\d_])(\w*)")
-_INNER = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,2}[^\W\d_])\.[ ]+(?=([^\W\d_]\w*))(?=[a-zà-ÿ])")
+_INSIDE = re.compile(r"\.(?:[,;:](?=\s)|[ \u00a0]+(?=([^\W\d_A-Z]\w*)))")
 _MONTH = re.compile(rf"(?:{MONTHS.replace(' ', '|')})\b")
 
 
@@ -151,6 +154,7 @@ class _Text:
         self.text, self.corpus = text, corpus
         self.never, self.may = set(NEVER.split()), set(MAY.split())
         self.carry = set(CARRY_ON.split())
+        self.inside: Counter[str] = Counter()
         self.months = _MONTH
         first = re.match(r"\W*([^\W\d_])(\w*)", text)
         low_start = bool(first) and first[1].islower() and not any(c.isupper() for c in first[2])
@@ -160,7 +164,7 @@ class _Text:
             if not (text[at - 1 : at].isdigit() or (at > 2 and text[at - 3 : at].isalpha())):
                 continue
             word = self._word(at)
-            if _case(m[2]) not in "lu" or self._abbreviation(word) or self.corpus.get(word.casefold()) == "bang":
+            if _case(m[2]) not in "lu" or self._known(word) or self.corpus.get(word.casefold()) == "bang":
                 continue
             if m[1].startswith("..") and text[: at - len(word)].rstrip(_OPENERS + " \n")[-1:] in {"", *_END}:
                 continue  # an interjection: "Well... it is"
@@ -168,15 +172,8 @@ class _Text:
             low += m[2].islower() and not any(c.isupper() for c in m[3])
         #: Sentences begin in lower case here: casing tells nothing.
         self.careless = low > 0 and low >= (0.3 if low_start else 0.5) * cased
-        # evidence within this text: short words with a period before a lower-case word, never without a period
-        self.own_abbreviations: set[str] = set()
-        if not self.careless:
-            plain: Counter[str] | None = None
-            for m in _INNER.finditer(text):
-                if len(m[1]) <= 3 and not any(c.isupper() for c in m[2]) and not self._abbreviation(m[1]):
-                    plain = plain if plain is not None else Counter(w.strip(_OPENERS + _CLOSERS + ",;:!?") for w in text.split())
-                    if not plain[m[1]]:
-                        self.own_abbreviations.add(m[1].casefold())
+        #: Words with a period that the sentence plainly goes on after: how often.
+        self.inside = Counter(self._insides())
         self.thai = bool(_THAI.search(text))
 
     @cached_property
@@ -194,8 +191,70 @@ class _Text:
             start -= 1
         return text[start:end]
 
+    def _insides(self) -> Iterator[str]:
+        """Each word before a period that a comma or, where casing tells, a word in lower case follows."""
+        for m in _INSIDE.finditer(self.text):
+            if m[1] and (self.careless or not m[1][0].islower() or any(c.isupper() for c in m[1])):
+                continue
+            word = self._word(m.start())
+            if len(word) > 1 and not any(c.isdigit() for c in word):
+                yield word.casefold()
+
+    @cached_property
+    def _uses(self) -> tuple[Counter[str], Counter[str], Counter[str], Counter[str], bool]:
+        """Words in uses that leave no doubt: without period (as written), capitalised inside a sentence and in lower case (both case-folded); all in lower case without period; whether all nouns are capitalised.
+
+        A use without period counts where a word in lower case or a comma follows: before a capital or
+        a number it may be an abbreviation written without its period.
+        """
+        plain: Counter[str] = Counter()
+        named: Counter[str] = Counter()
+        lower: Counter[str] = Counter()
+        bare: Counter[str] = Counter()
+        for line in self.text.split("\n"):
+            tokens, inside = line.split(), False
+            for token, after in zip(tokens, [*tokens[1:], ""]):
+                word = token.strip(_OPENERS + _CLOSERS + ",;:!?…")
+                if word and word[0].islower():
+                    lower[word.rstrip(".").casefold()] += 1
+                if word and word[-1] != ".":
+                    if word[0].islower():
+                        bare[word.casefold()] += 1
+                    elif inside and token[0] == word[0] and word[0].isupper():
+                        named[word.casefold()] += 1
+                    if (inside or not word[0].isupper()) and (token[-1] in ",;" or (token[-1] == word[-1] and after and _case(after[0]) in "lo")):
+                        plain[word] += 1
+                inside = bool(word) and any(c.isalnum() for c in word) and token.rstrip(_CLOSERS)[-1:] not in _END + _OWN_END + ":|" and not _LIST_MARK.fullmatch(token + " ")
+        capitals = sum(named.values())
+        return plain, named, lower, bare, capitals > _NOUNS * (capitals + sum(lower.values()))
+
+    def _own(self, word: str) -> str:
+        """'word' or 'abbreviation' as the other uses in this text show, '' where they show nothing or both."""
+        inside = self.inside[word.casefold()]
+        if self._uses[0][word]:
+            return "" if inside else "word"
+        if not inside or self._uses[3][word.casefold()]:
+            return ""
+        return "abbreviation" if len(word) <= 3 or inside > 1 else ""  # a longer word once: rather a slip in casing
+
+    def _next(self, word: str) -> str:
+        """'name' or 'common' as the other uses of a capitalised word in this text show, '' where they show nothing or both."""
+        _, named, lower, _, nouns = self._uses
+        key = word.casefold()
+        if len(word) < 2 or bool(named[key]) == bool(lower[key]):
+            return ""
+        return "common" if lower[key] else "" if nouns else "name"
+
     def _abbreviation(self, word: str) -> str:
-        """'never', 'may' or '' for an ordinary word."""
+        """'never', 'may', 'own' (shown by this text alone) or '' for an ordinary word; the text decides before corpus and lists."""
+        known = self._known(word)
+        if not known and not self.inside[word.casefold()]:
+            return ""
+        own = self._own(word)
+        return "" if own == "word" else known or ("own" if own else "")
+
+    def _known(self, word: str) -> str:
+        """'never', 'may' or '' by corpus, lists and form."""
         key = word.casefold()
         if self.corpus.get(key) == "never" or key in self.never:
             return "never"
@@ -449,21 +508,21 @@ class _Text:
                 return None
             return None if self.months.match(following) and len(word) <= 2 else stop
         if len(word) == 1 and word.isalpha():
-            return self._initial(begin, first, word, case, stop)
+            return self._initial(begin, first, word, case, following, stop)
         kind = self._abbreviation(word)
-        if kind == "never":
-            return None
         if case == "l":
-            if kind or word.casefold() in self.own_abbreviations:
+            if kind:
                 return stop if kind == "may" and self.careless else None
             return stop if self.careless or (len(word) >= 4 and not opener) else None  # a word, not an abbreviation
-        if not kind and word.casefold() in self.own_abbreviations:
-            return None
+        if kind in ("never", "own"):  # a title stands before words of any kind
+            return stop if case == "u" and word[:1].islower() and self._next(following) == "common" else None
         return stop
 
-    def _initial(self, begin: int, first: int, word: str, case: str, stop: int) -> int | None:
-        """A single letter and a period: an initial, unless it ends a name such as a plan's size."""
+    def _initial(self, begin: int, first: int, word: str, case: str, following: str, stop: int) -> int | None:
+        """A single letter and a period: an initial before what is a name elsewhere in the text, none before a common word; else unless it ends a name such as a plan's size."""
         before = self.text[begin : first - 1].split()
+        if case == "u" and word.isupper() and len(before) > 1 and not before[-1].endswith(".") and (shown := self._next(following)):
+            return stop if shown == "common" else None
         named = word.isupper() and len(before) > 1 and before[-1][:1].isupper() and not before[-1].endswith(".")
         if case == "l":
             return stop if named and self.careless else None

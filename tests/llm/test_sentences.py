@@ -57,3 +57,25 @@ def test_very_long_text():
     assert len(sentence_spans(text)) == 20000
     assert len(sentence_spans("word " * 100000)) == 1
     assert len(sentence_spans("(" * 3000 + "a. B")) >= 1
+
+
+@pytest.mark.parametrize("text,n", [
+    # a word by its other uses, although the list has it
+    ("The sun, it seems, was out. They sat under the sun. Visitors came.", 3),
+    # abbreviations by their other uses: other scripts, longer words
+    ("Дом на ул. садовой закрыт. Она пошла на ул. Садовую потом.", 2),
+    ("See the appdx. for it and the appdx. on fees. The appdx. Kalo wrote is new. It is open. They paid. We know.", 5),
+    # what follows an abbreviation: a common word of this text or not
+    ("Take zq. five or zq. ten. All of them hold zq. Ten is the most.", 3),
+    # a single letter before a name of this text, and before a common word
+    ("We met Drota at the desk of the shop and then went on to the other place. It was Anvil J. Drota who signed.", 2),
+    ("The tablets hold vitamin C. Tablets are sold here, and tablets last.", 2),
+])
+def test_the_text_decides_first(text, n):
+    parts = [text[a:b] for a, b in sentence_spans(text)]
+    assert len(parts) == n, parts
+
+
+def test_the_text_decides_before_the_corpus():
+    assert len(sentence_spans("We pay the fee, as agreed. It is the fee. Anna knows.", None, {"fee": "never"})) == 3
+    assert len(sentence_spans("It is the fee. Anna knows.", None, {"fee": "never"})) == 1
