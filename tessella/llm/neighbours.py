@@ -1,9 +1,11 @@
 """The k most similar vectors of every vector, by shifted Hilbert orderings.
 
 Vectors are projected on random rotations of their leading principal axes, shifted, and numbered
-along a Hilbert curve, once per ordering. Spark range-partitions the rows by (ordering, key); in
-sorted order each window of rows is compared with itself and the windows before and after it, and
-the k best of every row are kept. The lists of all orderings merge per row.
+along a Hilbert curve, once per ordering. Spark range-partitions the rows by (ordering, key) and
+numbers them through each ordering; each window of numbers is compared with itself and the windows
+before and after it, and the k best of every row are kept. Windows travel in groups that also hold
+the window before and after, so the result does not depend on the number of partitions. The lists
+of all orderings merge per row.
 
 Work grows linearly: ``orderings * 3 * window`` inner products per vector. Nothing is compared
 across a whole group: copies of one vector share a key, are ordered by a tie-break, and meet the
@@ -18,10 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.orphan_refs import dictionary
+from tessella.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -116,6 +120,9 @@ def _projections(mean: np.ndarray, covariance: np.ndarray, curves: Curves) -> li
     return out
 
 
+#: Windows that travel together; one more at either end comes along to be compared with.
+_GROUP = 32
+
 #: Rows compared at once: keeps the inner products in the processor's cache.
 _SLICE = 256
 
@@ -140,7 +147,8 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
     Rows with a null id or an unusable embedding (null, wrong length, a null, NaN or infinite
     element, all zero) take no part. Similarity is the cosine of vectors stored as 16-bit fractions
     of their largest component (error below 0.0001). Ties are settled by an internal code that is
-    the same on every run. Fewer than k + 1 vectors give shorter lists, an empty input none.
+    the same on every run. Fewer than k + 1 vectors give shorter lists, an empty input none. The
+    numbered rows are checkpointed, since a second run could draw the ranges elsewhere.
     """
     rows = usable(vectors.filter(F.col("id").isNotNull()).select("id", "embedding"), dim)
     count, mean, covariance = _moments(rows, dim)
@@ -162,6 +170,26 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
                     ["ordering", "key", "code", "scale", "stored"],
                 )
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            order = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(order)) + 1), len(order)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                at, last = (at if order[a] == last else starts[part, int(order[a])]), order[a]
+                number = np.arange(at, at + b - a)
+                at += b - a
+                block = number // curves.window
+                own = batch.slice(a, b - a)
+                group, inside = block // _GROUP, block % _GROUP
+                for shift, rows in ((0, None), (-1, (inside == 0) & (block > 0)), (1, inside == _GROUP - 1)):
+                    if rows is not None and not rows.any():
+                        continue
+                    chosen, n, g = (own, number, group) if rows is None else (own.filter(pa.array(rows)), number[rows], group[rows])
+                    yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(g + shift), pa.array(n), *(chosen.column(c) for c in (2, 3, 4))], ["ordering", "group", "number", "code", "scale", "stored"])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(previous, here, following):  # noqa: ANN001, ANN202
             parts = [p for p in (previous, here, following) if p is not None]
@@ -173,41 +201,46 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
                 ["code", "near", "sims"],
             )
 
-        def blocks():  # noqa: ANN202 - (ordering, codes, vectors) of at most a window, cut where the ordering changes
+        def blocks():  # noqa: ANN202 - (ordering and group, number of the window, codes, vectors) of each whole window
             held: tuple | None = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                order, codes, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
-                packed = batch.column(4)
+                order, group, number, codes, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+                packed = batch.column(5)
                 first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]  # all are of one length
                 raw = np.frombuffer(packed.buffers()[2], "<i2", len(packed) * dim, int(first)).reshape(-1, dim)
                 unit = raw.astype(np.float32) * (scale / 32767)[:, None]
-                edges = [0, *(np.flatnonzero(np.diff(order)) + 1), len(order)]
+                block = number // curves.window
+                edges = [0, *(np.flatnonzero(np.diff(order) | np.diff(group) | np.diff(block)) + 1), len(order)]
                 for a, b in zip(edges, edges[1:]):
-                    if held is not None and held[0] == order[a]:
-                        held = (held[0], np.r_[held[1], codes[a:b]], np.r_[held[2], unit[a:b]])
+                    place = ((int(order[a]), int(group[a])), int(block[a]))
+                    if held is not None and held[:2] == place:
+                        held = (*place, np.r_[held[2], codes[a:b]], np.r_[held[3], unit[a:b]])
                     else:
                         if held is not None:
                             yield held
-                        held = (order[a], codes[a:b], unit[a:b])
-                    while len(held[1]) > curves.window:
-                        yield held[0], held[1][: curves.window], held[2][: curves.window]
-                        held = (held[0], held[1][curves.window :], held[2][curves.window :])
+                        held = (*place, codes[a:b], unit[a:b])
             if held is not None:
                 yield held
 
+        def own(place, block) -> bool:  # noqa: ANN001 - else it came along
+            return block // _GROUP == place[1]
+
         previous = here = None
-        for order, *block in blocks():
-            if here is not None and here[0] == order:
-                yield lists(previous, here[1], block)
-                previous, here = here[1], (order, block)
+        at = None  # of ``here``
+        for place, number, *block in blocks():
+            if here is not None and at[0] == place:
+                if own(*at):
+                    yield lists(previous, here, block)
+                previous = here
             else:
-                if here is not None:
-                    yield lists(previous, here[1], None)
-                previous, here = None, (order, block)
-        if here is not None:
-            yield lists(previous, here[1], None)
+                if here is not None and own(*at):
+                    yield lists(previous, here, None)
+                previous = None
+            here, at = block, (place, number)
+        if here is not None and own(*at):
+            yield lists(previous, here, None)
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def best(rows: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +271,16 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
 
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-count * curves.orderings // 65536))
     placed = rows.join(names, "id").select("code", "embedding").mapInArrow(orderings, "ordering int, key bigint, code bigint, scale float, stored binary")
-    curve = placed.repartitionByRange(parts, "ordering", "key", "code").sortWithinPartitions("ordering", "key", "code")
-    lists = curve.mapInArrow(windows, "code bigint, near array<bigint>, sims array<float>")
+    ensure_checkpoint_dir(rows.sparkSession)
+    curve = placed.repartitionByRange(parts, "ordering", "key", "code").sortWithinPartitions("ordering", "key", "code").checkpoint()
+    sizes = curve.groupBy("ordering", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("ordering", "part").collect()
+    starts: dict[tuple[int, int], int] = {}  # (partition, ordering): the number of its first row
+    ordering, total = None, 0
+    for row in sizes:
+        total = total if row["ordering"] == ordering else 0
+        ordering, starts[row["part"], row["ordering"]] = row["ordering"], total
+        total += row["n"]
+    groups = curve.mapInArrow(numbered, "ordering int, group bigint, number bigint, code bigint, scale float, stored binary")
+    lists = groups.repartition(parts, "ordering", "group").sortWithinPartitions("ordering", "group", "number").mapInArrow(windows, "code bigint, near array<bigint>, sims array<float>")
     pairs = lists.repartition(parts, "code").sortWithinPartitions("code").mapInPandas(merged, "code bigint, neighbour bigint, similarity double, rank int")
     return pairs.join(names, "code").drop("code").join(names.select(F.col("id").alias("_name"), F.col("code").alias("neighbour")), "neighbour").select("id", F.col("_name").alias("neighbour"), "similarity", "rank")
