@@ -100,8 +100,8 @@ def graph_g08_components(spark: SparkSession, base: str) -> DataFrame:
     walk(id, hops) AS (SELECT id, 0 FROM nodes WHERE label = 'Plan' UNION SELECT l.b, w.hops + 1 FROM walk w JOIN links l ON l.a = w.id WHERE w.hops < 4),
     least AS (SELECT id, min(hops) hops FROM walk GROUP BY 1) SELECT hops, count(*) n FROM least GROUP BY 1""")
 def graph_g07_hops(spark: SparkSession, base: str) -> DataFrame:
-    """Nodes by fewest edges from any plan, up to four."""
-    return G.hops(_edges(spark, base), _nodes(spark, base).filter("label = 'Plan'"), 4).groupBy("hops").agg(F.count(F.lit(1)).alias("n"))
+    """Nodes by fewest edges from any plan, up to eight."""
+    return G.hops(_edges(spark, base), _nodes(spark, base).filter("label = 'Plan'"), 8).groupBy("hops").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{_GRAPH_SQL}, e2 AS (SELECT * FROM edges WHERE type <> 'ON_PLAN'), links AS (SELECT src a, dst b FROM e2 UNION SELECT dst, src FROM e2),

@@ -1,6 +1,6 @@
 """Registered queries do the whole job: no customer, hop or mention is left out."""
 
-from tessella.plans import further, reading
+from tessella.plans import further, graphs, reading
 
 TICKETS, SUBSCRIPTIONS = "customer_id bigint, ticket_id bigint, category string", "customer_id bigint, subscription_id bigint"
 
@@ -25,3 +25,12 @@ def test_facts_of_every_customer_are_numbered_across_slices(spark, monkeypatch):
         want |= {(c, f"F{n}", *f) for n, f in enumerate(sorted(facts), 1)}
     got = [tuple(r) for r in reading.rule_q14_facts(spark, "").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_hops_reach_eight(spark, monkeypatch):
+    nodes = spark.createDataFrame([("Plan::0", "Plan"), *[(f"Ticket::{i}", "Ticket") for i in range(1, 11)]], "id string, label string")
+    chain = ["Plan::0", *[f"Ticket::{i}" for i in range(1, 11)]]
+    edges = spark.createDataFrame([(b, a, "T") for a, b in zip(chain, chain[1:])], "src string, dst string, type string")
+    monkeypatch.setattr(graphs, "_nodes", lambda *_: nodes)
+    monkeypatch.setattr(graphs, "_edges", lambda *_: edges)
+    assert {tuple(r) for r in graphs.graph_g07_hops(spark, "").collect()} == {(h, 1) for h in range(9)}
