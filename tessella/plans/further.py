@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
@@ -110,10 +110,19 @@ _NEGATION = "\\b(no|not|never|without|neither)\\b"
 
 @query(f"""SELECT doc_id, regexp_matches(lower(substr(text, greatest(strpos(lower(text), 'refund') - 60, 1), least(strpos(lower(text), 'refund') - 1, 60))), '{_NEGATION}') negated FROM documents WHERE contains(lower(text), 'refund')""")
 def fn_f26_negated(spark: SparkSession, base: str) -> DataFrame:
-    """Whether a negation stands within 60 characters before the first mention."""
-    rows = table(spark, base, "documents").select("doc_id", "text").withColumn("_at", F.instr(F.lower("text"), "refund")).filter("_at > 0")
-    before = F.substr("text", F.greatest(F.col("_at") - 60, F.lit(1)), F.least(F.col("_at") - 1, F.lit(60)))
-    return rows.select("doc_id", F.lower(before).rlike(_NEGATION).alias("negated"))
+    """Whether a negation stands within 60 characters before every mention; the whole of a heading is no mention."""
+    rows = table(spark, base, "documents").select("doc_id", F.split(F.lower("text"), "refund", -1).alias("_p")).filter("size(_p) > 1")
+
+    def mention(part: Column, i: Column) -> Column:
+        first = F.greatest(i - 9, F.lit(1))  # ten parts and the terms between are 60 characters at least
+        before = F.array_join(F.slice("_p", first, i + 2 - first), "refund")
+        after = F.get("_p", i + 1)
+        ends_line = after.rlike(r"^[ \t\r]*\n") | (after.rlike(r"^[ \t\r]*\z") & (i + 2 == F.size("_p")))
+        heading = before.rlike(r"(?:\A|\n)#{1,6}[ \t]*\z") & ends_line
+        return F.struct(heading.alias("heading"), F.right(before, F.lit(60)).rlike(_NEGATION).alias("negated"))
+
+    mentions = F.filter(F.transform(F.slice("_p", F.lit(1), F.size("_p") - 1), mention), lambda m: ~m["heading"])
+    return rows.select("doc_id", mentions.alias("_m")).select("doc_id", ((F.size("_m") > 0) & F.forall("_m", lambda m: m["negated"])).alias("negated"))
 
 
 @query("SELECT customer_id, coalesce(try_cast(msisdn AS DOUBLE), 0) number, count(*) n FROM customer_master GROUP BY 1, 2")

@@ -34,3 +34,18 @@ def test_hops_reach_eight(spark, monkeypatch):
     monkeypatch.setattr(graphs, "_nodes", lambda *_: nodes)
     monkeypatch.setattr(graphs, "_edges", lambda *_: edges)
     assert {tuple(r) for r in graphs.graph_g07_hops(spark, "").collect()} == {(h, 1) for h in range(9)}
+
+
+def test_every_mention_is_tested(spark, monkeypatch):
+    far = "x " * 40
+    texts = {
+        "No refund. " + far + "A refund is due.": False,
+        "A refund is due. " + far + "No refund.": False,
+        "No refund. " + far + "Never a refund.": True,
+        "## Refund\n" + far + "no refund": True,
+        "## Refund": False,
+        "not " + "refund" * 9: True,
+        "not " + "refund" * 12: False,
+    }
+    given(monkeypatch, further, documents=spark.createDataFrame([*texts.items(), ("none", True)], "text string, want boolean").selectExpr("text AS doc_id", "text"))
+    assert {r["doc_id"]: r["negated"] for r in further.fn_f26_negated(spark, "").collect()} == texts
