@@ -43,28 +43,29 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[str, dict[int, str]
     """(cut level, {position: kind}): the places where a piece of ``text`` may end.
 
     The cut level is the coarsest kind of stretch that fits the limit everywhere. Finer ends are
-    offered only inside stretches too long to be one step: over ``limit - overlap``.
+    offered only inside stretches too long to be one step: over ``limit - overlap`` from the end
+    before them, blanks between included.
     """
-    level, ends, room = 0, {}, limit - overlap
+    level, ends, room, last = 0, {}, limit - overlap, 0
     for a, b in _spans(text, _PARAGRAPHS, 0, len(text)):
         ends[b] = "paragraph"
         level = max(level, int(b - a > limit))
-        if b - a <= room:
-            continue
-        for c, d in _spans(text, _LINES, a, b):
-            ends.setdefault(d, "line")
-            if d - c > limit:
-                level = max(level, 2)
-            if d - c <= room:
-                continue
-            for run in _RUNS.finditer(text, c, d):
-                e, f = run.span()
-                ends.setdefault(f, "word")
-                if f - e > limit:
-                    level = 3
-                if f - e > room:
-                    for g in range(e + room // 2, f, max(room // 2, 1)):
-                        ends.setdefault(g, "run")
+        if b - last > room:
+            for c, d in _spans(text, _LINES, a, b):
+                ends.setdefault(d, "line")
+                if d - c > limit:
+                    level = max(level, 2)
+                if d - last > room:
+                    for run in _RUNS.finditer(text, c, d):
+                        e, f = run.span()
+                        ends.setdefault(f, "word")
+                        if f - e > limit:
+                            level = 3
+                        if f - e > room:
+                            for g in range(e + room // 2, f, max(room // 2, 1)):
+                                ends.setdefault(g, "run")
+                last = d
+        last = b
     return LEVELS[level], ends
 
 
@@ -127,7 +128,10 @@ def cut(text: str, limit: int, overlap: int) -> tuple[str, list[int], list[int]]
     level, kinds = boundaries(text, limit, overlap)
     ends = sorted(kinds)
     n = len(ends)
-    starts = [0, *(_next_start(text, e, overlap) for e in ends)]  # of the piece after cut i - 1
+    starts = [0]  # of the piece after cut i - 1
+    for end, following in zip(ends, [*ends[1:], len(text)]):
+        start = _next_start(text, end, overlap)
+        starts.append(start if following - start <= limit else _next_start(text, end, 0))  # no room for the overlap
     pieces = -(-max(len(text) - overlap, 1) // (limit - overlap))
     target = min(limit, (len(text) - overlap) / pieces + overlap)
     penalties = [*(PENALTIES[kinds[e]] for e in ends[:-1]), 0.0]
@@ -137,6 +141,8 @@ def cut(text: str, limit: int, overlap: int) -> tuple[str, list[int], list[int]]
         found.append((starts[back[at]], ends[at - 1]))
         at = back[at]
     found.reverse()
+    if any(b - a > limit for a, b in found):
+        raise ValueError("no cuts keep the pieces within the limit")
     return level, [a for a, _ in found], [b for _, b in found]
 
 
@@ -166,7 +172,8 @@ def pieces(documents: DataFrame, limit: int = 1500, overlap: int = 200) -> DataF
     """(id, chunk_index, start, stop, text): the consecutive pieces of each oversized document.
 
     A piece is text[start:stop]; indexes run from 0. Each piece after the first repeats about
-    ``overlap`` characters of the one before, starting at a line or word start where one is near.
+    ``overlap`` characters of the one before, starting at a line or word start where one is near;
+    none where the blanks between or the next stretch leave no room for them.
     Every piece is at most ``limit`` long and together they cover all but blanks between pieces.
     """
     cut_at = F.posexplode(F.arrays_zip("starts", "ends")).alias("chunk_index", "_at")

@@ -63,3 +63,11 @@ def test_frames(spark):
     assert oversized(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         oversized(docs, 300, 200)
+
+
+@pytest.mark.parametrize("gap", [" " * 400, "\n" + " " * 400 + "\n", "\n\n", " ", "\n" * 900, "\t" * 3000])
+@pytest.mark.parametrize("stretch", [2, 700, 1000, 1299, 1300, 1301, 1500, 1501])
+def test_wide_gaps_and_stretches_near_the_limit(gap, stretch):
+    for body in ("x" * stretch, ("word " * 400)[: stretch - 1] + "x"):
+        check(gap.join([body] * 4), 1500, 200)
+        check("start " * 100 + gap.join([body] * 80), 1500, 200)
