@@ -105,12 +105,45 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([FD][0-9]+)\]"), F.lit(1)))
 
 
-def groundedness(rows: DataFrame, answer: str, support: str) -> DataFrame:
+#: Nouns of an absence claim and the lookup that would have found their rows (fixed values).
+NOUN_INTENTS = {"recharge": "recharge", "ticket": "tickets", "complaint": "tickets", "invoice": "invoice", "bill": "invoice", "subscription": "subscription", "plan": "subscription", "kyc": "kyc"}
+_NO_ROWS = r"(?i)\bfound no\b|\bnone\b|\bno (?:recharges?|tickets?|complaints?|invoices?|bills?|subscriptions?|plans?|kyc_records row|kyc records?)\b"
+
+
+def absence_problems(sentence: Column, passages: Column, row_counts: Column) -> Column:
+    """R6 of one sentence: array<string>, empty where its claims of absence are backed.
+
+    ``passages``: the full texts retrieved. ``row_counts``: rows found by each lookup that ran, null
+    for a customer not identified. A text mentions a term of six letters or more if a word begins
+    with its first five, a shorter one if it has the word. Quotes are no claims.
+    """
+    claim = F.lower(F.regexp_replace(F.regexp_replace(sentence, r"\[[FD][0-9]+\]", ""), '"[^"]*"', " "))
+    texts = F.coalesce(passages, F.array().cast("array<string>"))
+    term = F.regexp_extract(claim, r"state(?: anything)?(?: about| regarding| on)? ([a-z\-]+)", 1)
+    words = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"([a-z\-]+)"), F.lit(1))))
+    spoken = F.exists(words, lambda w: F.when(F.length(term) >= 6, F.startswith(w, F.left(term, F.lit(5)))).otherwise(w == term))
+    silent = claim.rlike(r"\b(?:do|does)(?:n't| not) state\b")
+    intents = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(claim, F.lit(n)), F.lit(i)) for n, i in NOUN_INTENTS.items()])))
+    none = claim.rlike(_NO_ROWS)
+    per_intent = F.array_compact(F.transform(intents, lambda i: F.when(~F.map_contains_key(row_counts, i), F.concat(F.lit("R6:not looked up:"), i)).when(F.element_at(row_counts, i) != 0, F.concat(F.lit("R6:found:"), i))))
+    return F.concat(
+        F.array_compact(F.array(
+            F.when(silent & (term == ""), F.lit("R6:no term")).when(silent & spoken, F.concat(F.lit("R6:mentioned:"), term)),
+            F.when(claim.rlike(r"\b(?:could not|couldn't|can't|cannot|can not) find\b") & (F.size(texts) > 0), F.lit("R6:passages")),
+            F.when(none & row_counts.isNull(), F.lit("R6:not identified")).when(none & (F.size(intents) == 0) & ~F.exists(F.map_values(row_counts), lambda n: n == 0), F.lit("R6:no empty lookup")),
+        )),
+        F.when(none & row_counts.isNotNull(), per_intent).otherwise(F.array().cast("array<string>")),
+    )
+
+
+def groundedness(rows: DataFrame, answer: str, support: str, statuses: str | None = None, outcome: str | None = None, passages: str | None = None, row_counts: str | None = None) -> DataFrame:
     """``rows`` with ``problems`` (array<string>), empty for a grounded answer.
 
-    ``support`` is a map from citation id to the cited text. R1: a sentence with a digit cites
-    nothing; R2: an unknown id is cited; R3: a number is in no text cited by its sentence; R4: a
-    ten-digit number or an e-mail address appears. A null answer has no problem.
+    ``support`` is a map from citation id to the cited text. R1: a sentence with a digit, a
+    currency or one of ``statuses`` (array<string>) cites nothing; R2: an unknown id is cited; R3: a number is in no text cited by its sentence; R4: a
+    ten-digit number or an e-mail address appears; R5: by ``outcome``, 'needs_identity' cites a fact
+    or 'refuse_other_customer' anything, or has a digit; R6: ``absence_problems``, checked if
+    ``passages`` and ``row_counts`` are named. A null answer has no problem.
     """
     bare = lambda s: F.regexp_replace(s, r"\[[FD][0-9]+\]", "")
 
@@ -118,12 +151,23 @@ def groundedness(rows: DataFrame, answer: str, support: str) -> DataFrame:
         cited, numbers = citations(s), X.numeric_tokens(bare(s))
         known = F.flatten(F.transform(F.filter(cited, lambda c: F.map_contains_key(support, c)), lambda c: X.numeric_tokens(F.col(support)[c])))
         missing = F.array_except(numbers, known)
+        factual = bare(s).rlike(r"[0-9₹$€£]")
+        if statuses:
+            words = F.regexp_extract_all(bare(s), F.lit(r"(\w+)"), F.lit(1))
+            factual = factual | F.coalesce(F.arrays_overlap(words, F.filter(statuses, lambda w: w.rlike(r"^\p{L}{3,}$"))), F.lit(False))
+        absent = absence_problems(s, F.col(passages), F.col(row_counts)) if passages and row_counts else F.array().cast("array<string>")
         return F.array_compact(F.concat(
-            F.array(F.when(bare(s).rlike("[0-9]") & (F.size(cited) == 0), F.lit("R1"))),
+            absent,
+            F.array(F.when(factual & (F.size(cited) == 0), F.lit("R1"))),
             F.transform(F.filter(cited, lambda c: ~F.map_contains_key(support, c)), lambda c: F.concat(F.lit("R2:"), c)),
             F.transform(F.when(F.size(cited) > 0, missing).otherwise(F.array().cast("array<string>")), lambda n: F.concat(F.lit("R3:"), n)),
         ))
 
     whole = F.when(F.col(answer).rlike(r"(?<![0-9])[0-9]{10}(?![0-9])|[\w.+-]+@[\w-]+\.[\w.-]+"), F.lit("R4"))
-    problems = F.concat(F.array_compact(F.array(whole)), F.flatten(F.transform(X.sentences_simple(F.col(answer)), sentence_problems)))
+    cites, of = citations(F.col(answer)), F.col(outcome) if outcome else F.lit(None).cast("string")
+    outcomes = (
+        F.when((of == "needs_identity") & F.exists(cites, lambda c: F.startswith(c, F.lit("F"))), F.lit("R5:fact"))
+        .when((of == "refuse_other_customer") & (F.size(cites) > 0), F.lit("R5:cites")).when((of == "refuse_other_customer") & bare(F.col(answer)).rlike("[0-9]"), F.lit("R5:number"))
+    )
+    problems = F.concat(F.array_compact(F.array(whole, outcomes)), F.flatten(F.transform(X.sentences_simple(F.col(answer)), sentence_problems)))
     return rows.withColumn("problems", F.coalesce(F.array_distinct(problems), F.array().cast("array<string>")))

@@ -1,5 +1,6 @@
 """Registered queries do the whole job: no customer, hop or mention is left out."""
 
+from tessella.operators import rules
 from tessella.plans import further, graphs, reading
 
 TICKETS, SUBSCRIPTIONS = "customer_id bigint, ticket_id bigint, category string", "customer_id bigint, subscription_id bigint"
@@ -49,3 +50,24 @@ def test_every_mention_is_tested(spark, monkeypatch):
     }
     given(monkeypatch, further, documents=spark.createDataFrame([*texts.items(), ("none", True)], "text string, want boolean").selectExpr("text AS doc_id", "text"))
     assert {r["doc_id"]: r["negated"] for r in further.fn_f26_negated(spark, "").collect()} == texts
+
+
+def test_absence_status_and_outcome(spark):
+    rows = [
+        ("It is Open.", None, [], {}, ["R1"]),
+        ("It costs €.", None, [], {}, ["R1"]),
+        ("Reopened or openly.", None, [], {}, []),
+        ("The passages do not state refunds.", None, ["A refund is due."], {}, ["R6:mentioned:refunds"]),
+        ("The passages do not state refunds.", None, ["A fee is due."], {}, []),
+        ("I could not find it.", None, ["x"], {}, ["R6:passages"]),
+        ("We found no tickets.", None, [], {"tickets": 0}, []),
+        ("We found no tickets.", None, [], {"tickets": 2}, ["R6:found:tickets"]),
+        ("We found no tickets.", None, [], {"kyc": 0}, ["R6:not looked up:tickets"]),
+        ("We found no tickets.", None, [], None, ["R6:not identified"]),
+        ("There are none.", None, [], {"kyc": 1}, ["R6:no empty lookup"]),
+        ("See [F1].", "needs_identity", [], {}, ["R5:fact"]),
+        ("See [D1].", "refuse_other_customer", [], {}, ["R5:cites", "R2:D1"]),
+    ]
+    frame = spark.createDataFrame([(str(i), *r[:4], {"F1": "x"}, ["Open"]) for i, r in enumerate(rows)], "id string, a string, o string, p array<string>, n map<string,int>, s map<string,string>, st array<string>")
+    got = {r["id"]: r["problems"] for r in rules.groundedness(frame, "a", "s", "st", "o", "p", "n").collect()}
+    assert got == {str(i): r[4] for i, r in enumerate(rows)}
