@@ -97,7 +97,7 @@ def graph_g08_components(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(f"""{_GRAPH_SQL}, links AS (SELECT src a, dst b FROM edges UNION SELECT dst, src FROM edges),
-    walk(id, hops) AS (SELECT id, 0 FROM nodes WHERE label = 'Plan' UNION SELECT l.b, w.hops + 1 FROM walk w JOIN links l ON l.a = w.id WHERE w.hops < 4),
+    walk(id, hops) AS (SELECT id, 0 FROM nodes WHERE label = 'Plan' UNION SELECT l.b, w.hops + 1 FROM walk w JOIN links l ON l.a = w.id WHERE w.hops < 8),
     least AS (SELECT id, min(hops) hops FROM walk GROUP BY 1) SELECT hops, count(*) n FROM least GROUP BY 1""")
 def graph_g07_hops(spark: SparkSession, base: str) -> DataFrame:
     """Nodes by fewest edges from any plan, up to eight."""
