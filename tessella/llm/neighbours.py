@@ -3,13 +3,18 @@
 Vectors are projected on random rotations of their leading principal axes, shifted, and numbered
 along a Hilbert curve, once per ordering. Spark range-partitions the rows by (ordering, key) and
 numbers them through each ordering; each window of numbers is compared with itself and the windows
-before and after it, and the k best of every row are kept. Windows travel in groups that also hold
+before and after it, and the best of every row are kept. Windows travel in groups that also hold
 the window before and after, so the result does not depend on the number of partitions. The lists
 of all orderings merge per row.
 
-Work grows linearly: ``orderings * 3 * window`` inner products per vector. Nothing is compared
-across a whole group: copies of one vector share a key, are ordered by a tie-break, and meet the
-copies in their windows only, which are as similar as any others.
+A window holds a falling share of a growing collection, so the merged lists are then refined: in
+each round the neighbours of a vector, and those that have it for a neighbour, are compared with
+each other. Rounds go on until one of them renews less than a set share of the results.
+
+Work grows linearly: ``orderings * 3 * window`` inner products per vector and about ``kept ** 2``
+more a round. Nothing is compared across a whole group: copies of one vector share a key, are
+ordered by a tie-break, and meet the copies in their windows only, which are as similar as any
+others. A vector in the lists of very many is compared with them in chunks.
 """
 
 from __future__ import annotations
@@ -18,26 +23,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.orphan_refs import dictionary
-from tessella.session import ensure_checkpoint_dir
+from tessella.session import ensure_checkpoint_dir, spread
 
 
 @dataclass(frozen=True)
 class Curves:
-    """Parameters: orderings, projected dimensions, bits each, rows per window, principal axes used."""
+    """Parameters: orderings, projected dimensions, bits each, rows per window, principal axes used.
+
+    ``kept``: length of the lists while they are refined; ``settled``: the share of renewed results
+    below which a round is the last; ``most_rounds``: an error if they do not settle by then.
+    """
 
     orderings: int = 8
     axes: int = 8
     bits: int = 6
-    window: int = 2048
+    window: int = 256
     principal: int = 20
     seed: int = 20
+    kept: int = 20
+    settled: float = 0.05
+    most_rounds: int = 24
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -123,6 +134,12 @@ def _projections(mean: np.ndarray, covariance: np.ndarray, curves: Curves) -> li
 #: Windows that travel together; one more at either end comes along to be compared with.
 _GROUP = 32
 
+#: Vectors that have one neighbour in common and are compared with its neighbours at once.
+_CHUNK = 128
+
+#: Pairs gathered before they are packed: bounds the memory of a task.
+_PAIRS = 1 << 20
+
 #: Rows compared at once: keeps the inner products in the processor's cache.
 _SLICE = 256
 
@@ -140,6 +157,142 @@ def _best(left: np.ndarray, right: np.ndarray, codes: np.ndarray, own: int, k: i
     return near, best
 
 
+def _packed(code: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int, fields: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
+    """One row per code: its distinct ``near``, best first, at most ``k``; ``fields`` are summed up over those kept."""
+    order = np.lexsort((-sims, near, code))
+    code, near, sims = code[order], near[order], sims[order]
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (near[1:] != near[:-1])][: len(code)])
+    extra = {n: np.minimum.reduceat(v[order], first) for n, v in (fields or {}).items()} if len(first) else {n: v for n, v in (fields or {}).items()}
+    code, near, sims = code[first], near[first], sims[first]
+    order = np.lexsort((near, -sims, code))
+    code, near, sims = code[order], near[order], sims[order]
+    rank = np.arange(len(code)) - np.searchsorted(code, code)
+    kept = rank < k
+    code, near, sims, rank = code[kept], near[kept], sims[kept], rank[kept]
+    starts = np.flatnonzero(rank == 0)
+    offsets = pa.array(np.r_[starts, len(code)].astype(np.int32))
+    columns = [pa.array(code[starts]), pa.ListArray.from_arrays(offsets, pa.array(near)), pa.ListArray.from_arrays(offsets, pa.array(sims.astype(np.float32)))]
+    for v in extra.values():
+        columns.append(pa.array(np.add.reduceat(v[order][kept], starts).astype(np.int32) if len(starts) else np.zeros(0, np.int32)))
+    return pa.RecordBatch.from_arrays(columns, ["code", "near", "sims", *extra])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], by: list[int]) -> Iterator[pa.RecordBatch]:
+    """Batches of a partition sorted by the columns ``by``, recut so that no group of theirs is parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        change = np.zeros(batch.num_rows, bool)
+        if held:
+            change[0] = any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != k[0] for c, k in zip(by, keys))
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        at = np.flatnonzero(change)
+        if len(at):
+            if held or at[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, int(at[-1]))]).combine_chunks().to_batches()[0]
+            held = [batch.slice(int(at[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _decoded(packed: pa.Array, scale: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors of 16-bit fractions."""
+    first = int(np.frombuffer(packed.buffers()[1], np.int32)[packed.offset])  # all are of one length
+    raw = np.frombuffer(packed.buffers()[2], "<i2", len(packed) * dim, first).reshape(-1, dim)
+    return raw.astype(np.float32) * (scale / 32767).astype(np.float32)[:, None]
+
+
+def _met(start: np.ndarray, lefts: np.ndarray, sizes: np.ndarray, member: np.ndarray, least: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code, near, similarity) of pairs within blocks of rows that are better than ``least`` of the code.
+
+    A block's first ``lefts`` rows are compared with all its rows. Blocks of like size go together.
+    """
+    order = np.argsort(sizes, kind="stable")
+    for i in range(0, len(order), 64):
+        some = order[i : i + 64]
+        wide, high = int(sizes[some].max()), int(lefts[some].max())
+        if not high:
+            continue
+        columns = np.arange(wide)
+        right = start[some, None] + np.minimum(columns, sizes[some, None] - 1)
+        left = right[:, :high]
+        sims = np.matmul(unit[left], unit[right].transpose(0, 2, 1))
+        valid = (columns[:high] < lefts[some, None])[:, :, None] & (columns < sizes[some, None])[:, None, :] & (member[left][:, :, None] != member[right][:, None, :])
+        b, l, r = np.nonzero(valid & (sims > least[left][:, :, None]))
+        yield member[left[b, l]], member[right[b, r]], sims[b, l, r]
+        b, l, r = np.nonzero(valid & (sims > least[right][:, None, :]) & (columns >= lefts[some, None])[:, None, :])
+        yield member[right[b, r]], member[left[b, l]], sims[b, l, r]
+
+
+def _refined(lists: DataFrame, vectors: DataFrame, parts: int, k: int, kept: int, dim: int) -> DataFrame:
+    """``lists`` (code, near, sims) after one round, with ``fresh``: how many of its first ``k`` are new.
+
+    A vector's group holds its neighbours (left) and those that have it for a neighbour. Groups of
+    more than ``_CHUNK`` of the latter are dealt into chunks that each get all of the former, and
+    vectors that travel to very many groups are salted alike: no task gets an unbounded group.
+    """
+    number = F.ceil(F.col("_n") / _CHUNK).cast("int")
+    asked = lists.select(F.explode("near").alias("near")).groupBy("near").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _CHUNK)
+    hot = asked.select(F.col("near").alias("_hot"), number.alias("_chunks"))
+    chunks = F.coalesce("_chunks", F.lit(1))
+    own = lists.join(hot, F.col("code") == F.col("_hot"), "left").select("code", chunks.alias("_own"), F.explode("near").alias("near"))
+    pairs = own.join(hot, F.col("near") == F.col("_hot"), "left").select("code", "near", "_own", chunks.alias("_their"))
+    dealt = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    left = pairs.select(F.col("near").alias("member"), dealt("code", "_their").alias("salt"), F.col("code").alias("group"), F.explode(F.sequence(F.lit(0), F.col("_own") - 1)).alias("chunk"), F.lit(1).alias("left"))
+    right = pairs.select(F.col("code").alias("member"), dealt("near", "_own").alias("salt"), F.col("near").alias("group"), dealt("code", "_their").alias("chunk"), F.lit(0).alias("left"))
+    members = left.unionByName(right).repartition(parts, "member", "salt").groupBy("member", "salt", "group", "chunk").agg(F.max("left").alias("left"))
+    least = lists.select(F.col("code").alias("_code"), F.when(F.size("sims") >= kept, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("least"))
+    known = vectors.join(least, F.col("code") == F.col("_code")).join(hot, F.col("code") == F.col("_hot"), "left")
+    sent = known.select(F.col("code").alias("member"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("salt"), "scale", "least", "stored")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        n = 0
+        for batch in _whole(batches, [0, 1]):
+            group, chunk, left, member, scale, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (chunk[1:] != chunk[:-1])])
+            sizes = np.diff(np.r_[start, len(group)])
+            lefts = np.add.reduceat(left.astype(np.int64), start)
+            for part in _met(start, lefts, sizes, member, least, _decoded(batch.column(6), scale, dim)):
+                found.append(part)
+                n += len(part[0])
+                if n >= _PAIRS:
+                    yield _packed(*map(np.concatenate, zip(*found)), kept)
+                    found, n = [], 0
+        if n:
+            yield _packed(*map(np.concatenate, zip(*found)), kept)
+
+    grouped = members.join(sent, ["member", "salt"]).select("group", "chunk", "left", "member", "scale", "least", "stored")
+    met = grouped.repartition(parts, "group", "chunk").sortWithinPartitions("group", "chunk", F.desc("left")).mapInArrow(meet, _LISTS)
+    return _merged(lists.select("code", "near", "sims", F.lit(False).alias("new")).unionByName(met.withColumn("new", F.lit(True))), parts, kept, k)
+
+
+_LISTS = "code bigint, near array<bigint>, sims array<float>"
+
+
+def _merged(lists: DataFrame, parts: int, kept: int, k: int) -> DataFrame:
+    """(code, near, sims, fresh): the lists of each code (near, sims, new) as one; ``fresh`` of its first ``k`` were in new ones only."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole(batches, [0]):
+            near, sims = batch.column(1), batch.column(2)
+            sizes = np.diff(near.offsets.to_numpy())
+            code = np.repeat(batch.column(0).to_numpy(), sizes)
+            new = np.repeat(batch.column(3).to_numpy(zero_copy_only=False).astype(np.int32), sizes)
+            out = _packed(code, near.flatten().to_numpy(), sims.flatten().to_numpy(), kept, {"fresh": new})
+            if k < kept and out.num_rows:  # counted over the first k only
+                first = _packed(code, near.flatten().to_numpy(), sims.flatten().to_numpy(), k, {"fresh": new})
+                out = out.set_column(3, "fresh", first.column(3))
+            yield out
+
+    return lists.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(merge, _LISTS + ", fresh int")
+
+
 def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curves = Curves()) -> DataFrame:
     """(id, neighbour, similarity, rank) with the k most similar other vectors of each vector.
 
@@ -147,28 +300,34 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
     Rows with a null id or an unusable embedding (null, wrong length, a null, NaN or infinite
     element, all zero) take no part. Similarity is the cosine of vectors stored as 16-bit fractions
     of their largest component (error below 0.0001). Ties are settled by an internal code that is
-    the same on every run. Fewer than k + 1 vectors give shorter lists, an empty input none. The
-    numbered rows are checkpointed, since a second run could draw the ranges elsewhere.
+    the same on every run. Fewer than k + 1 vectors give shorter lists, an empty input none. Coded
+    vectors, numbered rows and the lists of each round are checkpointed. Raises if the lists do
+    not settle within ``most_rounds``.
     """
     rows = usable(vectors.filter(F.col("id").isNotNull()).select("id", "embedding"), dim)
     count, mean, covariance = _moments(rows, dim)
     projections = _projections(mean, covariance, curves)
     names = dictionary(vectors.filter(F.col("id").isNotNull()).select(F.lit("").alias("space"), F.col("id").alias("key"))).select(F.col("key").alias("id"), "code")
+    kept = max(k, curves.kept)
 
-    def orderings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit = _unit(batch.column(1), dim)
             scale = np.abs(unit).max(1)
-            stored = np.rint(unit / scale[:, None] * 32767).astype("<i2")
-            packed = pa.Array.from_buffers(pa.binary(dim * 2), len(stored), [None, pa.py_buffer(stored.tobytes())]).cast(pa.binary())
+            fractions = np.rint(unit / scale[:, None] * 32767).astype("<i2")
+            packed = pa.Array.from_buffers(pa.binary(dim * 2), len(fractions), [None, pa.py_buffer(fractions.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scale.astype(np.float32)), packed], ["code", "scale", "stored"])
+
+    def orderings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _decoded(batch.column(2), batch.column(1).to_numpy(), dim)
             for i, (matrix, offset) in enumerate(projections):
                 cells = np.clip((unit @ matrix + offset) * (1 << curves.bits), 0, (1 << curves.bits) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(unit), i, np.int32)), pa.array(hilbert_keys(cells, curves.bits)), batch.column(0), pa.array(scale.astype(np.float32)), packed],
-                    ["ordering", "key", "code", "scale", "stored"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), i, np.int32)), pa.array(hilbert_keys(cells, curves.bits)), *batch.columns], ["ordering", "key", "code", "scale", "stored"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, last = TaskContext.get().partitionId(), 0, None
@@ -194,7 +353,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
         def lists(previous, here, following):  # noqa: ANN001, ANN202
             parts = [p for p in (previous, here, following) if p is not None]
             right, codes = np.concatenate([p[1] for p in parts]), np.concatenate([p[0] for p in parts])
-            near, sims = _best(here[1], right, codes, 0 if previous is None else len(previous[0]), k)
+            near, sims = _best(here[1], right, codes, 0 if previous is None else len(previous[0]), kept)
             offsets = np.arange(0, near.size + 1, max(near.shape[1], 1), dtype=np.int32) if near.shape[1] else np.zeros(len(near) + 1, np.int32)
             return pa.RecordBatch.from_arrays(
                 [pa.array(here[0]), pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), pa.ListArray.from_arrays(offsets, pa.array(sims.ravel().astype(np.float32)))],
@@ -207,10 +366,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
                 if not batch.num_rows:
                     continue
                 order, group, number, codes, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-                packed = batch.column(5)
-                first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]  # all are of one length
-                raw = np.frombuffer(packed.buffers()[2], "<i2", len(packed) * dim, int(first)).reshape(-1, dim)
-                unit = raw.astype(np.float32) * (scale / 32767)[:, None]
+                unit = _decoded(batch.column(5), scale, dim)
                 block = number // curves.window
                 edges = [0, *(np.flatnonzero(np.diff(order) | np.diff(group) | np.diff(block)) + 1), len(order)]
                 for a, b in zip(edges, edges[1:]):
@@ -242,37 +398,11 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
         if here is not None and own(*at):
             yield lists(previous, here, None)
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def best(rows: pd.DataFrame) -> pd.DataFrame:
-            sizes = rows["near"].map(len).to_numpy()
-            if not sizes.sum():
-                return pd.DataFrame({"code": [], "neighbour": [], "similarity": [], "rank": []}).astype({"code": "int64", "neighbour": "int64", "rank": "int32"})
-            code, near, sims = np.repeat(rows["code"].to_numpy(), sizes), np.concatenate(rows["near"].to_numpy()), np.concatenate(rows["sims"].to_numpy()).astype(np.float64)
-            order = np.lexsort((near, code))
-            code, near, sims = code[order], near[order], sims[order]
-            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (near[1:] != near[:-1])])  # found by several orderings
-            code, near, sims = code[first], near[first], np.maximum.reduceat(sims, first)
-            order = np.lexsort((near, -sims, code))
-            code, near, sims = code[order], near[order], sims[order]
-            rank = np.arange(len(code)) - np.searchsorted(code, code) + 1
-            kept = rank <= k
-            return pd.DataFrame({"code": code[kept], "neighbour": near[kept], "similarity": sims[kept], "rank": rank[kept].astype(np.int32)})
-
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            last = (batch["code"] == batch["code"].iloc[-1]).to_numpy()
-            whole, held = batch[~last], batch[last]
-            if len(whole):
-                yield best(whole)
-        if held is not None:
-            yield best(held)
-
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-count * curves.orderings // 65536))
-    placed = rows.join(names, "id").select("code", "embedding").mapInArrow(orderings, "ordering int, key bigint, code bigint, scale float, stored binary")
     ensure_checkpoint_dir(rows.sparkSession)
-    curve = placed.repartitionByRange(parts, "ordering", "key", "code").sortWithinPartitions("ordering", "key", "code").checkpoint()
+    coded = rows.join(names, "id").select("code", "embedding").mapInArrow(stored, "code bigint, scale float, stored binary").checkpoint()
+    placed = spread(coded).mapInArrow(orderings, "ordering int, key bigint, code bigint, scale float, stored binary")
+    curve = placed.repartitionByRange(parts, "ordering", "key", "code").sortWithinPartitions("ordering", "key", "code").checkpoint()  # a second run could draw the ranges elsewhere
     sizes = curve.groupBy("ordering", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("ordering", "part").collect()
     starts: dict[tuple[int, int], int] = {}  # (partition, ordering): the number of its first row
     ordering, total = None, 0
@@ -281,6 +411,16 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
         ordering, starts[row["part"], row["ordering"]] = row["ordering"], total
         total += row["n"]
     groups = curve.mapInArrow(numbered, "ordering int, group bigint, number bigint, code bigint, scale float, stored binary")
-    lists = groups.repartition(parts, "ordering", "group").sortWithinPartitions("ordering", "group", "number").mapInArrow(windows, "code bigint, near array<bigint>, sims array<float>")
-    pairs = lists.repartition(parts, "code").sortWithinPartitions("code").mapInPandas(merged, "code bigint, neighbour bigint, similarity double, rank int")
+    met = groups.repartition(parts, "ordering", "group").sortWithinPartitions("ordering", "group", "number").mapInArrow(windows, _LISTS)
+    lists = _merged(met.withColumn("new", F.lit(True)), parts, kept, k).drop("fresh").checkpoint()
+    for _ in range(curves.most_rounds):
+        refined = _refined(lists, coded, parts, k, kept, dim).checkpoint()
+        fresh = refined.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
+        lists = refined.drop("fresh")
+        if fresh <= curves.settled * k * count:
+            break
+    else:
+        raise RuntimeError("the lists of similar vectors did not settle")
+    best = F.slice(F.arrays_zip("near", "sims"), 1, k)
+    pairs = lists.select("code", F.posexplode(best).alias("_at", "_p")).select("code", F.col("_p.near").alias("neighbour"), F.col("_p.sims").cast("double").alias("similarity"), (F.col("_at") + 1).alias("rank"))
     return pairs.join(names, "code").drop("code").join(names.select(F.col("id").alias("_name"), F.col("code").alias("neighbour")), "neighbour").select("id", F.col("_name").alias("neighbour"), "similarity", "rank")
