@@ -3,12 +3,15 @@
 Whether a period ends a sentence is settled by what the text itself shows (its casing, its quotes
 and brackets, words it uses with and without a period, words it capitalises inside sentences or
 writes in lower case), then, where these show nothing, by the same evidence over the whole corpus
-and by a short list. Scripts with their own end marks or with spaces as boundaries have
-rules of their own.
+and by a short list whose words count only in their usual place (a number after ``no.``, a name
+after ``Dr.``). Scripts with their own end marks or with spaces as boundaries have rules of their
+own.
 
-The corpus evidence is one aggregate over all documents. A word enters it only if it makes up at
-least ``SHARE`` of all words that end with a period, so the table that travels to the tasks has at
-most ``1 / SHARE`` entries, whatever the corpus.
+The corpus evidence is one aggregate over all documents. It comes to the texts by a join on the
+words each holds, so nothing is left out for the size of the corpus or its vocabulary.
+
+Fixed bounds: an abbreviation has at most ``LONGEST`` characters, a word is read over its last 24,
+quotes and brackets are matched over the innermost ``_DEPTH`` that are open.
 """
 
 from __future__ import annotations
@@ -23,10 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import ensure_checkpoint_dir, spread
+from tessella.session import spread
 
-#: Least share of all period-ended words for a word to be kept as evidence: at most 50,000 words.
-SHARE = 2e-5
 #: Share of the usual width that wrapped lines reach.
 _RAGGED = 0.8
 #: Share of capitals within sentences from which on they mark nouns of all kinds, not names.
@@ -36,34 +37,47 @@ SEEN = 8
 #: Longest abbreviation, in characters.
 LONGEST = 8
 
-# Abbreviations known without evidence. The first never end a sentence, the others may.
-NEVER = "dr prof mr mrs ms st lt sr sra ref no nr rs vs cf approx incl e.g i.e p ca env aprox pág lt pvt tue mon wed thu fri sat sun fig ver डॉ रु திரு ரூ ডা"
+#: Open quotes and brackets that a closing one is matched with.
+_DEPTH = 8
+
+# Abbreviations known without evidence, by the place in which their period ends no sentence.
+ANYWHERE = "vs cf approx aprox incl e.g i.e"
+BEFORE_NUMBER = "no nr ref fig ver vol sec p pág ca env rs tue mon wed thu fri sat sun रु ரூ"
+BEFORE_NAME = "dr prof mr mrs ms st sr sra lt pvt डॉ திரு ডা"
+# Abbreviations that may end a sentence or stand inside one.
 MAY = "etc usw p.m a.m ltd inc co u.k u.s"
 # Month names after a day number with a period.
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
 # Words that carry a sentence on after a quotation or bracket, where no casing tells.
 CARRY_ON = "and or but nor in on at to of for from with by asked said says wrote replied sagte fragte und dit dijo y"
 
-_END, _OWN_END = ".!?…", "。！？｡।॥۔؟"
+# End marks that need no space: CJK, Indic, Arabic, Armenian, Ethiopic, Khmer, Burmese, Tibetan.
+_END, _OWN_END = ".!?…", "。！？｡।॥۔؟։።፧។៕။།༎"
 _CLOSERS = "\"'”’»)]}）」』》】›"
 _OPENERS = "\"'“‘«„([{（「『《【‹¿¡"
 _PAIRS = {"“": "”", "«": "»", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》"}
 _BRACKETS = "([（"
+# Japanese and Chinese signs and particles that carry a sentence on after a quotation.
+_QUOTED_ON = ("，", "、", ",", ";", "と", "的", "って", "という", "を", "の")
 _WORD_EDGES = frozenset(_OPENERS + "）。，、/- \n\t")
 _QUOTING = {*_PAIRS, *_PAIRS.values(), "„", "‘", "’", '"'}
-_MARKS = re.compile(rf"[{re.escape(_END + _OWN_END)}|]+")
+_MARKS = re.compile(rf"[{re.escape(_END + _OWN_END)}|]+|(?<=[\u0370-\u03ff\u1f00-\u1fff])[;\u037e]")  # the Greek question mark looks like a semicolon
 _LIST_MARK = re.compile(r"(?:\d{1,3}[.)]|[a-z][.)]|[-*•‣–])[ \t]+(?=\S)")
 _LABEL = re.compile(r"[A-Z][A-Za-z]{0,14}:[ \t]")
 _LEAD = re.compile(rf"^(?:{_LIST_MARK.pattern}|{_LABEL.pattern}|(?:[-*•‣–]|\d{{1,3}}[.)]|[a-z][.)])[ \t]*$)")
 _LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\{\"|[ \t]+at [\w.$]+\(")
 _LINE = re.compile(r"[^\r\n\u2028\u2029\x85]*(?:\r\n|[\r\n\u2028\u2029\x85]|$)")
 _THAI = re.compile("[\u0e00-\u0e7f]")
-_CLAUSE_END = re.compile("(?<=[\u0e00-\u0e7f])[ \u00a0]+|(?<=\\d [A-Z]B)[ \u00a0]+|(?<=\\d[A-Z]B)[ \u00a0]+")
-_UNIT = re.compile(r"(?:[KMGT]B|[KMG]bps|%|km|kg|cm|mm|ms)$")
+_UNITS = r"(?:[kKMGTmcµ]?(?:B|b|bps|m|g|s|l|W|V|A|Hz)|%|h|min)"  # after a number
+_CLAUSE_END = re.compile(f"(?:(?<=[\u0e00-\u0e7f])|\\d ?{_UNITS})[ \u00a0]+")
+_UNIT = re.compile(f"{_UNITS}$")
+_THREE = re.compile(r"[^\S\r\n]*(\S+)[^\S\r\n]+(\S+)[^\S\r\n]+(\S+)")
+_TOKEN = re.compile(r"\s*(\S+)")
 _DOTTED = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])([.!])[\"'”’»)\]]*(?=\s+[\"'“‘«„(\[¿¡]*(\S))")
 _FINAL = re.compile(r"(?<!\S)[\"'“‘«„(\[（]*(\S{0,7}[^\W\d_])\.[\"'”’»)\]]*[ \t]*(?:\n[ \t]*\n|\n?\Z)")
 _STARTS = re.compile(r"([.!?]+)[ ]+([^\W\d_])(\w*)")
 _INSIDE = re.compile(r"\.(?:[,;:](?=\s)|[ \u00a0]+(?=([^\W\d_A-Z]\w*)))")
+_WORD = re.compile(r"[\w’'-]*")
 _MONTH = re.compile(rf"(?:{MONTHS.replace(' ', '|')})\b")
 
 
@@ -115,8 +129,15 @@ def count_words(texts: list[str]) -> list[tuple]:
 _COUNTS = ["plain", "dotted", "lower", "upper", "digit", "caseless", "banged", "banged_lower", "final"]
 
 
-def corpus_evidence(documents: DataFrame, share: float = SHARE, seen: int = SEEN) -> dict[str, str]:
-    """{word: 'never' ends a sentence with its period, or 'bang' for names written with '!'} over all texts."""
+#: A word before a period or an exclamation mark, as the built-in functions find it: with the periods inside it and without.
+_CANDIDATES = [r"""([^\s"'“‘«„(\[（。，、/\-]{2,24})[.!]""", r"""([^\s"'“‘«„(\[（。，、/\-.]{2,24})[.!]"""]
+
+
+def corpus_evidence(documents: DataFrame, seen: int = SEEN) -> DataFrame:
+    """(word, kind) over all texts: the period of a 'never' word ends no sentence, that of a 'number' word none before a number; 'bang' marks names written with '!'.
+
+    A word needs ``seen`` uses with its mark to count, whatever the size of the corpus.
+    """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,24 +145,28 @@ def corpus_evidence(documents: DataFrame, share: float = SHARE, seen: int = SEEN
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["word", *_COUNTS])
 
-    ensure_checkpoint_dir(documents.sparkSession)
     schema = "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
     words = spread(documents.select("text").filter("text IS NOT NULL")).mapInArrow(counts, schema)
-    totals = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]).filter("dotted > 0 OR banged > 0").checkpoint()  # used twice below
-    marked = F.col("dotted") + F.col("banged")
-    every = totals.agg(F.sum(marked).alias("every"))
-    kept = totals.join(F.broadcast(every), marked >= F.greatest(F.lit(seen), F.lit(share) * F.col("every")), "inner")
+    totals = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]).filter("dotted > 0 OR banged > 0")
     inner = F.col("final") <= 0.02 * (F.col("dotted") + F.col("final"))  # a paragraph's last word is no title
     always = F.col("plain") <= 0.05 * F.col("dotted")
     one_way = F.greatest(F.col("lower") + F.col("digit"), "upper", "caseless") >= 0.97 * F.col("dotted")
     short = (F.length("word") <= 6) | F.col("word").contains(".")
     kind = (
         F.when((F.col("banged_lower") >= 0.9 * F.col("banged")) & (F.col("banged") >= seen) & (F.col("plain") <= 0.1 * F.col("banged")), "bang")
-        .when((F.col("digit") >= 0.9 * F.col("dotted")) & (F.col("dotted") >= seen) & inner, "never")
         .when(always & short & (F.col("dotted") >= seen) & one_way & inner, "never")
+        .when((F.col("digit") >= 0.9 * F.col("dotted")) & (F.col("dotted") >= seen) & inner, "number")
     )
-    rows = kept.select("word", kind.alias("kind")).filter("kind IS NOT NULL AND length(word) > 1").collect()
-    return {r["word"]: r["kind"] for r in rows}
+    return totals.select("word", kind.alias("kind")).filter("kind IS NOT NULL AND length(word) > 1")
+
+
+def _with_evidence(texts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``texts`` with ``known``: the evidence on the words each holds, as "word<tab>kind". Copies of a text share it."""
+    keyed = texts.withColumn("_key", F.xxhash64("text"))
+    words = F.transform(F.array_union(*[F.regexp_extract_all("text", F.lit(c), F.lit(1)) for c in _CANDIDATES]), F.lower)
+    found = keyed.select("_key", F.explode(words).alias("word")).join(evidence, "word")
+    known = found.groupBy("_key").agg(F.collect_set(F.concat_ws("\t", "word", "kind")).alias("known"))
+    return keyed.join(known, "_key", "left").drop("_key")
 
 
 # --- one text -------------------------------------------------------------------------------
@@ -152,10 +177,11 @@ class _Text:
 
     def __init__(self, text: str, corpus: dict[str, str]) -> None:
         self.text, self.corpus = text, corpus
-        self.never, self.may = set(NEVER.split()), set(MAY.split())
+        self.anywhere, self.number, self.name, self.may = (set(w.split()) for w in (ANYWHERE, BEFORE_NUMBER, BEFORE_NAME, MAY))
         self.carry = set(CARRY_ON.split())
         self.inside: Counter[str] = Counter()
         self.months = _MONTH
+        self.careless = False
         first = re.match(r"\W*([^\W\d_])(\w*)", text)
         low_start = bool(first) and first[1].islower() and not any(c.isupper() for c in first[2])
         low = cased = 0
@@ -164,7 +190,7 @@ class _Text:
             if not (text[at - 1 : at].isdigit() or (at > 2 and text[at - 3 : at].isalpha())):
                 continue
             word = self._word(at)
-            if _case(m[2]) not in "lu" or self._known(word) or self.corpus.get(word.casefold()) == "bang":
+            if _case(m[2]) not in "lu" or self._known(word, m.end(1)) or self.corpus.get(word.casefold()) == "bang":
                 continue
             if m[1].startswith("..") and text[: at - len(word)].rstrip(_OPENERS + " \n")[-1:] in {"", *_END}:
                 continue  # an interjection: "Well... it is"
@@ -245,18 +271,26 @@ class _Text:
             return ""
         return "common" if lower[key] else "" if nouns else "name"
 
-    def _abbreviation(self, word: str) -> str:
-        """'never', 'may', 'own' (shown by this text alone) or '' for an ordinary word; the text decides before corpus and lists."""
-        known = self._known(word)
+    def _abbreviation(self, word: str, after: int) -> str:
+        """'never', 'may', 'own' (shown by this text alone) or '' for an ordinary word before ``after``; the text decides before corpus and lists."""
+        known = self._known(word, after)
         if not known and not self.inside[word.casefold()]:
             return ""
         own = self._own(word)
         return "" if own == "word" else known or ("own" if own else "")
 
-    def _known(self, word: str) -> str:
-        """'never', 'may' or '' by corpus, lists and form."""
+    def _known(self, word: str, after: int) -> str:
+        """'never', 'may' or '' by corpus, lists and form, and by what stands from ``after`` on."""
         key = word.casefold()
-        if self.corpus.get(key) == "never" or key in self.never:
+        shown = self.corpus.get(key)
+        if shown == "never" or key in self.anywhere:
+            return "never"
+        if shown == "number" or key in self.number:
+            token = _TOKEN.match(self.text, after)
+            return "never" if token and any(c.isdigit() for c in token[1]) else ""
+        if key in self.name:
+            if word[:1].islower() and not self.careless:
+                return ""
             return "never"
         if key in self.may:
             return "may"
@@ -316,7 +350,7 @@ class _Text:
         if _LABEL.match(bare):
             return False
         last = self._word(before[0] + len(text[before[0] : before[1]].rstrip()) - 1, before[0])
-        ended = previous[-1] in _END + _OWN_END and len(last) != 1 and not self._abbreviation(last)
+        ended = previous[-1] in _END + _OWN_END and len(last) != 1 and not self._abbreviation(last, line[0])
         if _LIST_MARK.match(bare) and (self.listed or not wrapped or ended):
             return False
         return wrapped or (_case(word[0]) == "l" and not self.careless and previous[-1:] not in _END + _OWN_END)
@@ -330,7 +364,7 @@ class _Text:
                 continue
             if c == "’" and 0 < i < end - 1 and text[i - 1].isalpha() and text[i + 1].isalpha():
                 continue  # an apostrophe
-            depth = next((k for k in range(1, min(len(stack), 8) + 1) if stack[-k][0] == c), 0)
+            depth = next((k for k in range(1, min(len(stack), _DEPTH) + 1) if stack[-k][0] == c), 0)
             if depth:
                 found.append((stack[-depth][1], i))
                 del stack[-depth:]
@@ -397,11 +431,11 @@ class _Text:
         for m in _CLAUSE_END.finditer(text, start, stop):
             if m.end() <= begin:
                 continue
-            after = text[m.end() : m.end() + 80].split("\n", 1)[0]
-            if _THAI.match(after):
+            if _THAI.match(text, m.end()):
                 return m.end()
-            words = [w.strip(_OPENERS + _CLOSERS + ",.;:!?…") for w in after.split()[:3]]
-            if len(words) == 3 and not _THAI.search("".join(words)) and not _UNIT.match(words[1]) and sum(any(c.isalpha() for c in w) for w in words) >= 2:
+            three = _THREE.match(text, m.end())
+            words = [w.strip(_OPENERS + _CLOSERS + ",.;:!?…") for w in three.groups()] if three else []
+            if words and not _THAI.search("".join(words)) and not _UNIT.match(words[1]) and sum(any(c.isalpha() for c in w) for w in words) >= 2:
                 return m.end()  # a sentence of another language
         return None
 
@@ -436,7 +470,7 @@ class _Text:
             at += 1
         if at >= end:
             return "", "", opener
-        word = re.match(r"[\w’'-]*", text[at : at + 40])[0]
+        word = _WORD.match(text, at)[0]
         case = _case(text[at])
         if case == "l" and any(c.isupper() for c in word[1:4]):
             case = "u"  # eSIM, myBrand: a name
@@ -459,7 +493,7 @@ class _Text:
             return stop
         nearest = text[stop]
         if _cjk(text[inner - 1]) or text[inner] in _OWN_END:
-            if nearest in "，、,;；と的" or text.startswith(("って", "という"), stop):
+            if text.startswith(_QUOTED_ON, stop):
                 return None
             if _cjk(nearest) or not nearest.isspace():
                 return stop
@@ -480,7 +514,7 @@ class _Text:
             if marks == "|" and before and "\u0900" <= before <= "\u0dff":
                 return stop
             return None
-        if any(c in _OWN_END for c in marks):
+        if any(c in _OWN_END for c in marks) or marks in ";\u037e":
             return stop
         if stop >= end:
             return end
@@ -509,7 +543,7 @@ class _Text:
             return None if self.months.match(following) and len(word) <= 2 else stop
         if len(word) == 1 and word.isalpha():
             return self._initial(begin, first, word, case, following, stop)
-        kind = self._abbreviation(word)
+        kind = self._abbreviation(word, stop)
         if case == "l":
             if kind:
                 return stop if kind == "may" and self.careless else None
@@ -523,6 +557,8 @@ class _Text:
         before = self.text[begin : first - 1].split()
         if case == "u" and word.isupper() and len(before) > 1 and not before[-1].endswith(".") and (shown := self._next(following)):
             return stop if shown == "common" else None
+        if word.islower() and before and before[-1][-1:].isdigit():
+            return stop if case in "uo" else None  # a unit: "2.4 t"
         named = word.isupper() and len(before) > 1 and before[-1][:1].isupper() and not before[-1].endswith(".")
         if case == "l":
             return stop if named and self.careless else None
@@ -541,9 +577,9 @@ class _Text:
             return letters or not dot
         case = _case(nearest)
         if case == "u":
-            return (letters and (after.islower() or after.isspace() or after in ".G") or not dot) and "." not in word
+            return (letters and (after.islower() or not after.isalnum()) or not dot) and "." not in word
         if case == "o":
-            return (letters and word[-2:].isalpha() and not self._abbreviation(word)) or not dot
+            return (letters and word[-2:].isalpha() and not self._abbreviation(word, stop)) or not dot
         return False
 
 
@@ -552,7 +588,7 @@ def sentence_spans(text: str | None, kind: str | None = None, corpus: dict[str,
     return _Text(text, corpus or {}).spans(kind) if text and not text.isspace() else []
 
 
-def sentences(documents: DataFrame, evidence: dict[str, str] | None = None) -> DataFrame:
+def sentences(documents: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """(id, start, stop) of each sentence of each (id, text, kind).
 
     Positions are 0-based code points, the end exclusive, no whitespace at either end. Null, empty
@@ -560,16 +596,17 @@ def sentences(documents: DataFrame, evidence: dict[str, str] | None = None) -> D
     unit; it may be null. Copies are split alike. Other columns do not matter. ``evidence``: as
     ``corpus_evidence`` gives it; gathered from the texts themselves if absent.
     """
-    corpus = corpus_evidence(documents) if evidence is None else evidence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                spans = [sentence_spans(t, k, corpus) for t, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                rows = zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))
+                spans = [sentence_spans(t, k, dict(w.split("\t") for w in known or ())) for t, k, known in rows]
                 sizes = np.array([len(s) for s in spans], np.int64)
                 flat = np.array([p for s in spans for p in s], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["id", "start", "stop"])
 
     rows = spread(documents.select("id", "text", "kind").filter("text IS NOT NULL"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, start bigint, stop bigint")
+    known = _with_evidence(rows, corpus_evidence(documents) if evidence is None else evidence).select("id", "text", "kind", "known")
+    return known.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, start bigint, stop bigint")

@@ -44,10 +44,11 @@ def test_log_lines_and_blanks():
 def test_corpus_evidence(spark):
     texts = [f"We met Zq. {n} today. The zones of the city open today." for n in ("Anna", "Bert", "Cora", "Dora", "Emil")] * 10 + ["Visit Yahoo! is it open", "Yahoo! has it", "Yahoo! was here"] * 5 + [None, ""]
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id bigint, text string, kind string")
-    evidence = corpus_evidence(docs)
+    frame = corpus_evidence(docs)
+    evidence = {r["word"]: r["kind"] for r in frame.collect()}
     assert evidence.get("zq") == "never" and evidence.get("yahoo") == "bang"
     assert "today" not in evidence
-    got = sentences(docs, evidence).filter("id = 0").collect()
+    got = sentences(docs, frame).filter("id = 0").collect()
     assert len(got) == 2
     assert sentences(docs.limit(0)).count() == 0
 
@@ -79,3 +80,37 @@ def test_the_text_decides_first(text, n):
 def test_the_text_decides_before_the_corpus():
     assert len(sentence_spans("We pay the fee, as agreed. It is the fee. Anna knows.", None, {"fee": "never"})) == 3
     assert len(sentence_spans("It is the fee. Anna knows.", None, {"fee": "never"})) == 1
+
+
+def test_marked_texts():
+    """Sentences marked by hand in 24 languages: at least 95 % found, and 95 % of those found right."""
+    from tests.llm.marked_sentences import MARKED
+
+    every = found = both = 0
+    for _, joiner, parts in MARKED:
+        want, at = set(), 0
+        for part in parts:
+            want.add((at, at + len(part)))
+            at += len(part) + len(joiner)
+        got = set(sentence_spans(joiner.join(parts)))
+        every, found, both = every + len(want), found + len(got), both + len(want & got)
+    assert every >= 200
+    assert both >= 0.95 * every and both >= 0.95 * found
+
+
+@pytest.mark.parametrize("text,n", [
+    ("The answer is no. Please call again later.", 2), ("I sat. Then the agent came back to me.", 2), ("The new ref. This was wrong.", 2),
+    ("I saw the sun. It was bright.", 2), ("We liked the sun in May. I saw the sun. It was bright.", 3), ("He wears a fig. It is green.", 2),
+    ("It is no. 7 on the list, see fig. 3 there.", 1), ("Open on Mon. 5 May. Then closed.", 2), ("It took 5 ms. Then it stopped.", 2),
+])
+def test_listed_words_count_in_their_place_only(text, n):
+    assert len(sentence_spans(text)) == n
+
+
+def test_evidence_reaches_every_text(spark):
+    """Words of the corpus come to the texts by a join, for copies and null ids too."""
+    texts = ["It is the krx. Anna knows.", "It is the krx. Anna knows.", "", None]
+    docs = spark.createDataFrame([(None, t, None) for t in texts], "id bigint, text string, kind string")
+    evidence = spark.createDataFrame([("krx", "never"), ("other", "never")], "word string, kind string")
+    assert sentences(docs, evidence).count() == 2
+    assert sentences(docs, evidence.limit(0)).count() == 4
