@@ -57,10 +57,10 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_blocks(spark: SparkSession, base: str) -> DataFrame:
-    """(document_type, block, length, documents): repeated blocks of two or more lines."""
+    """(document_type, length, documents, lines): repeated blocks of two or more lines, as compared."""
     dealt = boilerplate.shards(boilerplate.counting_documents(table(spark, base, "canonical_documents")))
     blocks = boilerplate.frequent_blocks(dealt, 0.1, 4).filter("length > 1")
-    return blocks.select(F.col("source").alias("document_type"), F.col("hash").alias("block"), "length", "documents")
+    return boilerplate.block_texts(blocks, _contents(spark, base)).select(F.col("source").alias("document_type"), "length", "documents", "lines")
 
 
 def p5_clean(spark: SparkSession, base: str) -> DataFrame:
@@ -160,7 +160,35 @@ keyed AS (
 ), spread AS (SELECT kind, k, count(DISTINCT document_id) n FROM keyed GROUP BY 1, 2),
 totals AS (SELECT kind, count(*) total FROM docs GROUP BY 1),
 frequent AS (SELECT kind, k FROM spread JOIN totals USING (kind) WHERE n >= 4 AND n * 10 >= total)
-SELECT document_id, CAST(line_no AS BIGINT) line_no FROM keyed JOIN frequent USING (kind, k)
+"""
+
+_BLOCKS_SQL = r"""
+, placed AS (SELECT document_id, kind, k, row_number() OVER (PARTITION BY document_id ORDER BY line_no) p FROM keyed),
+around AS (
+  SELECT *, lag(k) OVER w before, f.k IS NOT NULL often FROM placed LEFT JOIN frequent f USING (kind, k) WINDOW w AS (PARTITION BY document_id ORDER BY p)
+), runs AS (
+  SELECT *, p - row_number() OVER (PARTITION BY document_id ORDER BY p) run FROM around WHERE often
+), stretches AS (
+  SELECT document_id, kind, run, list(k ORDER BY p) ks, list(before ORDER BY p) befores, min(p) p FROM runs GROUP BY 1, 2, 3
+), firsts AS (SELECT *, unnest(range(1, len(ks) + 1)) i FROM stretches),
+spans AS (SELECT *, unnest(range(i + 1, len(ks) + 1)) j FROM firsts),
+places AS (
+  SELECT s.kind, s.document_id, ks[i:j] block, befores[i] before, n.k AS following FROM spans s LEFT JOIN placed n ON n.document_id = s.document_id AND n.p = s.p + j
+), blocks AS (
+  SELECT kind, block, count(DISTINCT document_id) documents FROM places GROUP BY 1, 2
+  HAVING (count(DISTINCT before) > 1 OR count(*) > count(before)) AND (count(DISTINCT following) > 1 OR count(*) > count(following))
+)
+SELECT kind document_type, CAST(len(block) AS INTEGER) length, documents, array_to_string(block, chr(10)) lines FROM blocks JOIN totals USING (kind) WHERE documents >= 4 AND documents * 10 >= total
+"""
+
+_CLEAN_SQL = """
+, gone AS (SELECT document_id, line_no FROM keyed JOIN frequent USING (kind, k)),
+kept AS (
+  SELECT document_id, string_agg(line, chr(10) ORDER BY line_no) content
+  FROM lines ANTI JOIN gone USING (document_id, line_no) GROUP BY 1
+), contents AS (SELECT document_id, max_by(content, ingested_at) content FROM canonical_documents WHERE document_id IS NOT NULL GROUP BY 1)
+SELECT c.document_id, CASE WHEN c.document_id IN (SELECT document_id FROM gone) THEN coalesce(k.content, '') ELSE c.content END content
+FROM contents c LEFT JOIN kept k ON c.document_id = k.document_id
 """
 
 #: name -> (query, its SQL twin or None)
@@ -169,9 +197,9 @@ QUERIES = {
     "p1_neighbours": (p1_neighbours, None),
     "p2_found": (p2_found, _CUT_LEVEL_SQL),
     "p2_chunks": (p2_chunks, None),
-    "p5_found": (p5_found, _LINES_SQL),
-    "p5_blocks": (p5_blocks, None),
-    "p5_clean": (p5_clean, None),
+    "p5_found": (p5_found, _LINES_SQL + "SELECT document_id, CAST(line_no AS BIGINT) line_no FROM keyed JOIN frequent USING (kind, k)"),
+    "p5_blocks": (p5_blocks, _LINES_SQL + _BLOCKS_SQL),
+    "p5_clean": (p5_clean, _LINES_SQL + _CLEAN_SQL),
     "p6_ids": (p6_ids, None),
     "p6_offsets": (p6_offsets, None),
     "p6_decoded": (p6_decoded, None),

@@ -93,3 +93,49 @@ def test_sources_without_repeats(spark):
     assert B.repeated_lines(docs).count() == 0
     assert B.frequent_blocks(B.shards(docs), 0.1, 4).count() == 0
     assert {(r["id"], r["line_no"]) for r in B.repeated_lines(docs, 0.1, 2).collect()} == {("d", 1), ("e", 1)}
+
+
+def brute_blocks(docs, least):
+    """{block: documents} of single lines and of blocks that no line could lengthen on either side."""
+    at = defaultdict(list)
+    for d, ids in enumerate(docs):
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids) + 1):
+                at[tuple(ids[i:j])].append((d, ids[i - 1] if i else None, ids[j] if j < len(ids) else None))
+    out = {}
+    for block, places in at.items():
+        open_ = all(None in side or len(set(side)) > 1 for side in ([p[1] for p in places], [p[2] for p in places]))
+        if (len(block) == 1 or open_) and len({p[0] for p in places}) >= least:
+            out[block] = len({p[0] for p in places})
+    return out
+
+
+def test_maximal_blocks_and_their_documents_against_enumeration():
+    rng = random.Random(8)
+    for trial in range(120):
+        docs = [[rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 10))] for _ in range(rng.randint(1, 7))]
+        ids = np.array([x for d in docs for x in d], np.int64)
+        doc = np.array([k for k, d in enumerate(docs) for _ in d], np.int64)
+        left = np.array([len(d) - i for d in docs for i in range(len(d))], np.int64)
+        for least in (2, 3):
+            got = {tuple(ids[i : i + n].tolist()): v for (i, n), v in B.repeated_blocks(ids, doc, left, least).items()}
+            assert got == brute_blocks(docs, least), docs
+        hashes = B.BlockHashes(ids)
+        by = defaultdict(set)
+        for i in range(len(ids)):
+            for n in range(1, left[i] + 1):
+                by[int(hashes.at(np.array([i]), n)[0]), n].add(tuple(ids[i : i + n].tolist()))
+        assert all(len(v) == 1 for v in by.values())
+
+
+def test_growing_documents_and_one_line_over_and_over():
+    """Versions of one growing document give few candidates; a line repeated within a document counts once."""
+    ids = np.concatenate([np.arange(1, 50 * v) for v in range(1, 41)]).astype(np.int64)
+    sizes = [50 * v - 1 for v in range(1, 41)]
+    doc = np.repeat(np.arange(40), sizes)
+    left = np.concatenate([np.arange(n, 0, -1) for n in sizes])
+    found = B.repeated_blocks(ids, doc, left, 4)
+    assert sum(n > 1 for _, n in found) <= 40
+    same = np.ones(60000, np.int64)
+    found = B.repeated_blocks(same, np.repeat(np.arange(3), 20000), np.tile(np.arange(20000, 0, -1), 3), 3)
+    assert len(found) == 20000 and set(found.values()) == {3}
