@@ -43,11 +43,11 @@ class Curves:
     orderings: int = 8
     axes: int = 8
     bits: int = 6
-    window: int = 256
+    window: int = 1024
     principal: int = 20
     seed: int = 20
-    kept: int = 20
-    settled: float = 0.05
+    kept: int = 24
+    settled: float = 0.04
     most_rounds: int = 24
 
 

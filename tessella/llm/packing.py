@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers by first-fit decreasing in randomised groups.
 
-Items fall into groups by a seeded hash, so a group's size is set by a parameter whatever the
-skew of their other columns, and groups pack independently. Within a group a tournament tree over
+Items fall into groups by a seeded hash of id, size, part and a number that tells equal rows apart,
+so a group's size is set by a parameter whatever the skew of ids (one id or null on a third of all
+rows included), and groups pack independently. Within a group a tournament tree over
 the bins' free room finds the first bin that fits in logarithmic time.
 """
 
@@ -44,7 +45,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return [tree.place(s) for s in sizes]
 
 
-def pack(items: DataFrame, capacities: DataFrame, item_count: int | None = None, group_items: int = GROUP_ITEMS, seed: int = 7, largest_capacities: int = 64) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, total: DataFrame | None = None, group_items: int = GROUP_ITEMS, seed: int = 7, largest_capacities: int = 64) -> DataFrame:
     """(capacity_id, group, bin, id, part, start, tokens): the container of every item, for every capacity.
 
     ``items``: id, tokens (null counts as 0). ``capacities``: capacity_id, capacity; at most
@@ -53,7 +54,8 @@ def pack(items: DataFrame, capacities: DataFrame, item_count: int | None = None,
     remainder, which is packed like other items; ``part`` counts from 0, ``start`` is the part's
     first token. Items without tokens keep a row, in the first container of their group. A
     container is (capacity_id, group, bin). Repeated items are packed each. There is a group per
-    ``group_items`` items; ``item_count`` saves counting items that are costly to compute.
+    ``group_items`` items; ``total``, a frame of one row and one number, saves counting items that are
+    costly to compute.
     """
     sizes = capacities.filter("capacity_id IS NOT NULL AND capacity >= 1").select("capacity_id", F.col("capacity").cast("int").alias("capacity")).distinct().limit(largest_capacities + 1).collect()
     if len(sizes) > largest_capacities:
@@ -61,16 +63,19 @@ def pack(items: DataFrame, capacities: DataFrame, item_count: int | None = None,
     rows = items.select("id", F.coalesce(F.col("tokens").cast("bigint"), F.lit(0)).alias("size"))
     if not sizes:
         return rows.limit(0).selectExpr("0 AS capacity_id", "0 AS `group`", "0 AS bin", "id", "0 AS part", "0L AS start", "0L AS tokens")
-    groups = max(1, -(-(rows.count() if item_count is None else item_count) // group_items))
+    counted = (rows.agg(F.count(F.lit(1))) if total is None else total).toDF("_total")
+    equal = rows.groupBy("id", "size").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = equal.select("id", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).join(F.broadcast(counted))
+    groups = F.greatest(F.lit(1), F.ceil(F.col("_total") / group_items))
     offered = F.explode(F.array(*[F.struct(F.lit(r["capacity_id"]).alias("capacity_id"), F.lit(r["capacity"]).alias("capacity")) for r in sizes]))
-    rows = rows.withColumn("_c", offered).select("id", "size", "_c.capacity_id", "_c.capacity")
+    rows = rows.withColumn("_c", offered).select("id", "size", "_copy", groups.alias("_groups"), "_c.capacity_id", "_c.capacity")
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.col("capacity").cast("bigint"))
-    parts = rows.select("id", "size", "capacity_id", "capacity", F.posexplode(starts).alias("part", "start"))
+    parts = rows.select("id", "size", "_copy", "_groups", "capacity_id", "capacity", F.posexplode(starts).alias("part", "start"))
     parts = parts.withColumn("tokens", F.least(F.col("size") - F.col("start"), F.col("capacity").cast("bigint")))
-    parts = parts.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id", "part"), F.lit(groups)).cast("int"))
+    parts = parts.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id", "size", "part", "_copy"), F.col("_groups")).cast("int")).drop("_groups")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["tokens", "id", "part"], ascending=[False, True, True], ignore_index=True)
+        group = group.sort_values(["tokens", "id", "part", "_copy"], ascending=[False, True, True, True], ignore_index=True)
         group["bin"] = first_fit_decreasing(group["tokens"].tolist(), int(group["capacity"].iloc[0]))
         return group[["capacity_id", "group", "bin", "id", "part", "start", "tokens"]]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.vectors import cosine
 from tessella.llm import boilerplate, neighbours, packing, sentences, splitting, tokens
 from tessella.sources.tables import latest_rows, table
 
@@ -15,9 +16,19 @@ def _similar(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    """(chunk_id_a, chunk_id_b): pairs of cosine 0.90 or more, one among the 10 nearest of the other."""
-    near = _similar(spark, base).filter("similarity >= 0.9")
-    return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
+    """(chunk_id_a, chunk_id_b): pairs of cosine 0.90 or more, one among the 10 nearest of the other.
+
+    Similarities of stored vectors are right to 0.0001; pairs that close to 0.90 are settled by the vectors themselves.
+    """
+    near = _similar(spark, base).filter(F.col("similarity") >= 0.9 - 1e-4)
+    pairs = near.groupBy(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).agg(F.max("similarity").alias("similarity"))
+    doubtful = pairs.filter(F.col("similarity") < 0.9 + 1e-4)
+    vectors = latest_rows(table(spark, base, "chunk_vectors"), "chunk_id", "embedded_at", ["embedding"])
+    for end, name in (("chunk_id_a", "_a"), ("chunk_id_b", "_b")):
+        doubtful = doubtful.join(vectors.select(F.col("chunk_id").alias(end), F.transform("embedding", lambda x: x.cast("double")).alias(name)), end)
+    settled = doubtful.filter(cosine(F.col("_a"), F.col("_b")) >= 0.9)
+    names = ["chunk_id_a", "chunk_id_b"]
+    return pairs.filter(F.col("similarity") >= 0.9 + 1e-4).select(*names).unionByName(settled.select(*names))
 
 
 def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
@@ -46,6 +57,25 @@ def p2_chunks(spark: SparkSession, base: str) -> DataFrame:
     return splitting.pieces(_long_contents(spark, base)).withColumnRenamed("id", "document_id")
 
 
+def p2_check(spark: SparkSession, base: str) -> DataFrame:
+    """(documents, over_limit, lost, wrong_overlaps): how many pieces break a promise; one row, zeros but for the documents.
+
+    ``lost``: places between pieces, or at either end, that leave out more than blanks. ``wrong_overlaps``:
+    seams that repeat more than 200 characters, or fewer than 100 although they repeat some and more than blanks lie before.
+    """
+    cuts = splitting.oversized(_long_contents(spark, base)).select("text", "starts", "ends", F.size("starts").alias("n"))
+    seams = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.struct(F.get("ends", i - 1).alias("stop"), F.get("starts", i).alias("start")))
+    seams = F.when(F.col("n") > 1, seams).otherwise(F.array().cast("array<struct<stop:int,start:int>>"))
+    part = lambda a, b: F.substr(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))
+    blank = lambda t: ~t.rlike("[^ \\t\\r\\n]")
+    number = lambda array, test: F.size(F.filter(array, test)).cast("bigint")
+    over = number(F.zip_with("starts", "ends", lambda a, b: b - a), lambda n: (n > 1500) | (n <= 0))
+    lost = number(seams, lambda s: ~blank(part(s["stop"], s["start"]))) + F.when((F.get("starts", F.lit(0)) == 0) & (F.element_at("ends", -1) == F.length("text")), 0).otherwise(1)
+    repeats = number(seams, lambda s: (s["stop"] - s["start"] > 200) | ((s["stop"] - s["start"]).between(1, 99) & ~blank(part(s["stop"] - 100, s["start"]))))
+    zero = F.lit(0).cast("bigint")
+    return cuts.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(over), zero).alias("over_limit"), F.coalesce(F.sum(lost), zero).alias("lost"), F.coalesce(F.sum(repeats), zero).alias("wrong_overlaps"))
+
+
 def _documents(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -84,10 +114,16 @@ def p6_decoded(spark: SparkSession, base: str) -> DataFrame:
     return tokens.decode(tokens.encode(_documents(spark, base))).withColumnRenamed("id", "doc_id")
 
 
+def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, text): encoded, decoded in pieces of three tokens that cut characters, and put together."""
+    pieces = tokens.decode_in_pieces(tokens.encode(_documents(spark, base)), 3)
+    return pieces.select(F.col("id").alias("doc_id"), F.array_join("pieces", "").alias("text"))
+
+
 def _packed(spark: SparkSession, base: str) -> DataFrame:
     documents = _documents(spark, base)
     budgets = table(spark, base, "token_budgets").select(F.col("budget_id").alias("capacity_id"), F.col("capacity_tokens").alias("capacity"))
-    return packing.pack(tokens.sizes(documents), budgets, item_count=documents.count())
+    return packing.pack(tokens.sizes(documents), budgets, documents.agg(F.count(F.lit(1))))
 
 
 def p7_packed(spark: SparkSession, base: str) -> DataFrame:
@@ -103,6 +139,20 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
     return used.join(budgets, "budget_id").select("budget_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("fill"))
 
 
+def p7_check(spark: SparkSession, base: str) -> DataFrame:
+    """(budget_id, overfull, wrong_sizes, needless_splits): containers and texts that break a promise; zeros."""
+    packed = _packed(spark, base).withColumnRenamed("capacity_id", "budget_id")
+    sized = tokens.sizes(_documents(spark, base)).select("id", F.col("tokens").alias("size"))
+    budgets = table(spark, base, "token_budgets").select("budget_id", "capacity_tokens").distinct()
+    bins = packed.groupBy("budget_id", "group", "bin").agg(F.sum("tokens").alias("_t")).join(budgets, "budget_id")
+    overfull = bins.groupBy("budget_id").agg(F.count_if(F.col("_t") > F.col("capacity_tokens")).alias("overfull"))
+    texts = packed.groupBy("budget_id", "id").agg(F.sum("tokens").alias("_t"), F.count(F.lit(1)).alias("_n")).join(budgets, "budget_id").join(sized, "id", "full")
+    held = texts.groupBy("budget_id").agg(
+        F.count_if(F.col("_t").isNull() | F.col("size").isNull() | (F.col("_t") != F.col("size"))).alias("wrong_sizes"), F.count_if((F.col("_n") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("needless_splits")
+    )
+    return held.join(overfull, "budget_id", "left").select("budget_id", "overfull", "wrong_sizes", "needless_splits")
+
+
 def _sentences(spark: SparkSession, base: str) -> DataFrame:
     return sentences.sentences(table(spark, base, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_kind").alias("kind")))
 
@@ -147,6 +197,8 @@ measured AS (
 SELECT document_id, CASE WHEN p <= 1500 THEN 'paragraph' WHEN l <= 1500 THEN 'line' WHEN w <= 1500 THEN 'word' ELSE 'run' END cut_level FROM measured
 """
 
+_CHECK_SQL = _CUT_LEVEL_SQL[: _CUT_LEVEL_SQL.index("long AS")].rstrip(", \n") + " SELECT count(*) documents, 0 over_limit, 0 lost, 0 wrong_overlaps FROM texts WHERE length(t) > 1500"
+
 _LINES_SQL = r"""
 WITH counting AS (
   SELECT document_id, max_by(content, ingested_at) content, upper(trim(max_by(document_type, ingested_at), ' ' || chr(9) || chr(10) || chr(13))) kind
@@ -197,14 +249,17 @@ QUERIES = {
     "p1_neighbours": (p1_neighbours, None),
     "p2_found": (p2_found, _CUT_LEVEL_SQL),
     "p2_chunks": (p2_chunks, None),
+    "p2_check": (p2_check, _CHECK_SQL),
     "p5_found": (p5_found, _LINES_SQL + "SELECT document_id, CAST(line_no AS BIGINT) line_no FROM keyed JOIN frequent USING (kind, k)"),
     "p5_blocks": (p5_blocks, _LINES_SQL + _BLOCKS_SQL),
     "p5_clean": (p5_clean, _LINES_SQL + _CLEAN_SQL),
     "p6_ids": (p6_ids, None),
     "p6_offsets": (p6_offsets, None),
-    "p6_decoded": (p6_decoded, None),
+    "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
+    "p6_pieces": (p6_pieces, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
     "p7_packed": (p7_packed, None),
     "p7_fill": (p7_fill, None),
+    "p7_check": (p7_check, "SELECT DISTINCT budget_id, 0 overfull, 0 wrong_sizes, 0 needless_splits FROM token_budgets"),
     "p8_found": (p8_found, None),
     "p8_texts": (p8_texts, None),
 }

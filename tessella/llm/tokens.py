@@ -135,6 +135,23 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string")
 
 
+def decode_in_pieces(encoded: DataFrame, length: int, path: str | None = None) -> DataFrame:
+    """(id, pieces) of (id, ids): the texts of consecutive pieces of ``length`` ids, which may cut characters.
+
+    A cut character goes to the piece where it ends. A null list gives null, an empty one no piece.
+    """
+    path = _vocabulary(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).to_pylist()
+            texts = [None if ids is None else decode_pieces([ids[i : i + length] for i in range(0, len(ids), length)], path) for ids in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.string()))], ["id", "pieces"])
+
+    rows = encoded.select("id", "ids")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, pieces array<string>")
+
+
 def sizes(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(id, tokens): the number of tokens of each text, 0 of null and empty ones."""
     return encode(documents, path).select("id", F.size("ids").alias("tokens"))

@@ -71,3 +71,19 @@ def test_wide_gaps_and_stretches_near_the_limit(gap, stretch):
     for body in ("x" * stretch, ("word " * 400)[: stretch - 1] + "x"):
         check(gap.join([body] * 4), 1500, 200)
         check("start " * 100 + gap.join([body] * 80), 1500, 200)
+
+
+def test_no_piece_over_the_limit_whatever_the_text():
+    rng = random.Random(12)
+    for _ in range(3000):
+        limit = rng.choice([40, 100, 300])
+        overlap = rng.randint(0, limit // 2 - 1)
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            parts.append("".join(rng.choice("ab  \n\t") if rng.random() < 0.2 else "x" for _ in range(rng.randint(1, 2 * limit))))
+            parts.append(rng.choice([" ", "\n", "\n\n", " " * rng.randint(0, 3 * limit), "\n" * rng.randint(0, limit), "\n \t\n"]))
+        text = "".join(parts).strip(" \t\r\n")
+        if len(text) > limit:
+            _, starts, ends = check(text, limit, overlap)
+            for end, start in zip(ends, starts[1:]):
+                assert end - start <= overlap

@@ -91,3 +91,23 @@ def test_pack(spark):
     assert packing.pack(items, capacities.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(items, capacities, largest_capacities=1)
+
+
+def test_null_and_repeated_ids_spread_over_groups(spark):
+    rows = [(None, 5)] * 400 + [(7, 5)] * 400 + [(7, None)] * 10
+    items = spark.createDataFrame(rows, "id bigint, tokens int")
+    got = packing.pack(items, spark.createDataFrame([(1, 64)], "capacity_id int, capacity int"), group_items=100).collect()
+    assert len(got) == 810 and sum(r["tokens"] for r in got) == 4000
+    sizes = {}
+    for r in got:
+        sizes[r["group"]] = sizes.get(r["group"], 0) + 1
+    assert len(sizes) >= 8 and max(sizes.values()) < 250
+
+
+def test_pieces_that_cut_characters(spark):
+    encoded = tokens.encode(frame(spark, TEXTS))
+    for n in (1, 2, 5):
+        got = {r["id"]: r["pieces"] for r in tokens.decode_in_pieces(encoded, n).collect()}
+        assert {i: "".join(p) for i, p in got.items()} == {i: t or "" for i, t in enumerate(TEXTS)}
+    nulls = encoded.selectExpr("id", "CAST(NULL AS array<int>) AS ids")
+    assert all(r["pieces"] is None for r in tokens.decode_in_pieces(nulls, 2).collect())
