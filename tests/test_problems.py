@@ -5,8 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessella.operators.intervals import OPEN, continuous_periods
-from tessella.operators.orphan_refs import dictionary, lifespans, orphan_counts, orphan_references
+import numpy as np
+
+from tessella.operators.intervals import OPEN, Tree, continuous_periods, merged
+from tessella.operators.orphan_refs import dictionary, lifespans, orphan_counts, orphan_references, pack_bits, unpack_bits
 
 DAY0 = dt.date(1970, 1, 1)
 
@@ -98,3 +100,26 @@ def test_dictionary_is_dense(spark):
     keys = spark.range(5000).select(F.lit("s").alias("space"), F.col("id").cast("string").alias("key"))
     codes = sorted(r["code"] for r in dictionary(keys.union(keys), 37).collect())
     assert codes == list(range(5000))
+
+
+def test_compressed_bitmaps_keep_their_bits():
+    rng = np.random.default_rng(3)
+    some = lambda n: np.unique(rng.integers(0, 1 << 15, n))
+    for positions, form, most in ((some(0), b"p", 1), (some(5), b"p", 11), (some(30000), b"b", 4097), (np.arange(100, 32768), b"r", 5), (np.arange(32768), b"r", 5), (np.array([0, 32767]), b"p", 5)):
+        packed = pack_bits(positions)
+        assert packed[:1] == form and len(packed) <= most
+        assert (np.flatnonzero(np.unpackbits(unpack_bits(packed), bitorder="little")) == positions).all()
+
+
+def test_lists_merge_in_any_order():
+    rng = random.Random(4)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(0, 5)) for a in (rng.randint(0, 60) for _ in range(rng.randint(1, 20)))]
+        tree, fold = Tree(), []
+        for a, b in spans:
+            tree.add([(a, b, 1)])
+            fold = merged([(a, b, 1)], fold)
+        assert tree.whole() == fold
+        assert sum(n for *_, n in fold) == len(spans)
+        assert {d for a, b in spans for d in range(a, b + 1)} == {d for a, b, _ in fold for d in range(a, b + 1)}
+        assert all(x[1] + 1 < y[0] for x, y in zip(fold, fold[1:]))
