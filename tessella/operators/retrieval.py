@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -89,22 +87,59 @@ def reciprocal_rank_fusion(ranking: DataFrame, k: int = 60, digits: int = 8) ->
     return top_n(fused, ["query_id"], [F.col("score").desc(), F.col("best_rank").asc(), F.col("document_id").asc()], None)
 
 
-def shared_hub_expansion(seeds: DataFrame, mentions: DataFrame, limit: int, digits: int = 6) -> DataFrame:
+def shared_hub_expansion(seeds: DataFrame, mentions: DataFrame, limit: int, digits: int = 6, block: int = 2048) -> DataFrame:
     """(query_id, document_id, score, n_shared, rank): documents that share hubs with the seeds.
 
     ``seeds``: query_id, document_id, rank; ``mentions``: document_id, label, concept. Each shared
     (label, concept) of a seed adds 1 / (1 + the seed's rank). A seed is no neighbour of itself but
-    may be one of another seed. Seeds' weights are summed per (query, hub) before they meet the
-    documents, so a hub that many seeds share is joined once, and a document's own weight is taken
-    back where it is a seed itself.
+    may be one of another seed. Seeds' weights are summed per (query, hub); then queries and
+    documents meet in blocks of about ``block`` rows, like ``nearest``, and only the ``limit`` best
+    of a block leave it: a hub that nearly all documents hold costs no rows. Rows with a null
+    document, label or concept take no part.
     """
-    m = mentions.filter("document_id IS NOT NULL AND concept IS NOT NULL").select("document_id", "label", "concept").distinct()
-    held = seeds.filter("document_id IS NOT NULL").join(m, "document_id").select("query_id", "document_id", "label", "concept", (1.0 / (1.0 + F.col("rank"))).alias("_w"))
-    hubs = held.groupBy("query_id", "label", "concept").agg(F.sum("_w").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    own = held.select("query_id", "document_id", "label", "concept", "_w")
-    met = hubs.join(m, ["label", "concept"]).join(own, ["query_id", "document_id", "label", "concept"], "left")
-    met = met.select("query_id", "document_id", (F.col("_sum") - F.coalesce("_w", F.lit(0.0))).alias("_score"), (F.col("_n") - F.when(F.col("_w").isNotNull(), 1).otherwise(0)).alias("_others")).filter("_others > 0")
-    scored = met.groupBy("query_id", "document_id").agg(F.round(F.sum("_score"), digits).alias("score"), F.count(F.lit(1)).alias("n_shared"))
+    m = mentions.filter("document_id IS NOT NULL AND label IS NOT NULL AND concept IS NOT NULL").select("document_id", F.concat_ws("\x01", "label", "concept").alias("hub")).distinct()
+    held = seeds.filter("document_id IS NOT NULL").join(m, "document_id").select("query_id", "document_id", "hub", (1.0 / (1.0 + F.col("rank"))).alias("_w"))
+    weighed = held.groupBy("query_id", "hub").agg(F.sum("_w").alias("_sum"), F.collect_list(F.struct("document_id", F.col("_w").alias("w"))).alias("_own"))
+    asked = weighed.groupBy("query_id").agg(F.collect_list(F.struct("hub", "_sum", "_own")).alias("_hubs"))
+    found = m.groupBy("document_id").agg(F.collect_list("hub").alias("_hubs"))
+    n_q, n_d = max(1, -(-seeds.select("query_id").distinct().count() // max(1, block // 8))), max(1, -(-found.count() // block))
+    q = asked.select("query_id", "_hubs", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"))
+    d = found.select("document_id", "_hubs", F.pmod(F.xxhash64("document_id"), F.lit(n_d)).cast("int").alias("db2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("qb2"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "document_id", "score", "n_shared"]
+        none = pd.DataFrame({"query_id": left["query_id"].iloc[:0], "document_id": right["document_id"].iloc[:0], "score": pd.Series(dtype="float64"), "n_shared": pd.Series(dtype="int64")})
+        right = right.sort_values("document_id", ignore_index=True)
+        place = {h: i for i, h in enumerate(dict.fromkeys(x["hub"] for hubs in left["_hubs"] for x in hubs))}
+        links = [(i, place[h]) for i, hubs in enumerate(right["_hubs"]) for h in hubs if h in place]
+        if not links:
+            return none
+        doc, hub = np.array(links).T
+        weights, number = np.zeros((len(left), len(place))), np.zeros((len(left), len(place)), np.int64)
+        for i, hubs in enumerate(left["_hubs"]):
+            for x in hubs:
+                weights[i, place[x["hub"]]], number[i, place[x["hub"]]] = x["_sum"], len(x["_own"])
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        met = doc[starts]
+        score, shared = np.add.reduceat(weights[:, hub], starts, axis=1), np.add.reduceat((number > 0)[:, hub].astype(np.int64), starts, axis=1)
+        at = {right["document_id"].iat[k]: j for j, k in enumerate(met)}
+        for i, hubs in enumerate(left["_hubs"]):  # what a seed adds to itself is taken back
+            for x in hubs:
+                for own in x["_own"]:
+                    if (j := at.get(own["document_id"])) is not None:
+                        score[i, j] -= own["w"]
+                        shared[i, j] -= len(x["_own"]) == 1
+        score = np.round(score, digits)
+        out = []
+        for i, query in enumerate(left["query_id"]):
+            order = np.lexsort((met, -shared[i], -score[i]))
+            order = order[shared[i, order] > 0][:limit]
+            out.append(pd.DataFrame({"query_id": query, "document_id": right["document_id"].to_numpy()[met[order]], "score": score[i, order], "n_shared": shared[i, order]}))
+        return pd.concat(out, ignore_index=True)[columns] if out else none
+
+    kinds = dict(q.dtypes) | dict(d.dtypes)
+    schema = f"query_id {kinds['query_id']}, document_id {kinds['document_id']}, score double, n_shared bigint"
+    scored = q.groupBy("qb", "db").cogroup(d.groupBy("qb2", "db2")).applyInPandas(best, schema).withColumn("score", F.round("score", digits))
     return top_n(scored, ["query_id"], [F.col("score").desc(), F.col("n_shared").desc(), F.col("document_id").asc()], limit)
 
 
@@ -151,18 +186,16 @@ def hashed_embedding(dim: int = 64):  # noqa: ANN201
     """A deterministic embedding of texts for use without a model: hashed words, unit length; null for null or wordless texts."""
 
     @F.pandas_udf("array<double>")
-    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
-
-        for batch in texts:
-            out = []
-            for text in batch:
-                vector = np.zeros(dim)
-                for word in (text or "").lower().split():
-                    h = xxhash.xxh64_intdigest(word)
-                    vector[h % dim] += 1 if h >> 32 & 1 else -1
-                length = np.linalg.norm(vector)
-                out.append(vector / length if length else None)
-            yield pd.Series(out)
-
-    return embed
+    def embed(words: pd.Series) -> pd.Series:
+        sizes = words.map(len).to_numpy()
+        hashes = np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64)
+        cells = np.repeat(np.arange(len(words)), sizes) * dim + hashes % dim
+        vectors = np.bincount(cells, np.where(hashes >> 32 & 1, 1.0, -1.0), len(words) * dim).reshape(-1, dim)
+        lengths = np.linalg.norm(vectors, axis=1)
+        return pd.Series([v / n if n else None for v, n in zip(vectors, lengths)])
+
+    def of(text: Column | str) -> Column:
+        split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+        return embed(F.transform(split, lambda w: F.xxhash64(w)))
+
+    return of

@@ -168,10 +168,8 @@ def eval_e10_weight_sweep(spark: SparkSession, base: str) -> DataFrame:
     SELECT arm, round(sum(coalesce(1.0 / best, 0)) / (SELECT count(DISTINCT query_id) FROM rel), 6)::DOUBLE mrr_5, round(count(best) / (SELECT count(DISTINCT query_id) FROM rel), 6) hit_5 FROM reached GROUP BY 1""")
 def eval_e17_arms(spark: SparkSession, base: str) -> DataFrame:
     """Vector, graph and fused lists under the same metrics."""
-    vectors = RQ._vectors(spark, base)
-    relevant = RQ._asked(vectors).join(vectors, F.col("query_label") == F.col("label")).filter("query_id <> id").select("query_id", F.expr("id div 5").alias("document_id")).distinct()
     arms = {"vector": RQ._vector_list(spark, base), "graph": RQ._graph_list(spark, base), "fused": V.reciprocal_rank_fusion(RQ._lists(spark, base, 0.5))}
-    out = [metrics.mean_scores(metrics.query_scores(metrics.judged(a.select("query_id", "document_id", "rank"), relevant), (5,), 5)).select(F.lit(n).alias("arm"), F.col("reciprocal_rank").alias("mrr_5"), "hit_5") for n, a in arms.items()]
+    out = [metrics.mean_scores(metrics.query_scores(RQ.judged_documents(spark, base, a), (5,), 5)).select(F.lit(n).alias("arm"), F.col("reciprocal_rank").alias("mrr_5"), "hit_5") for n, a in arms.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

@@ -237,9 +237,26 @@ _RELEVANT_SQL = _knn_sql() + """, rel AS (SELECT query_id, count(*) n FROM q JOI
 
 
 def _judged(spark: SparkSession, base: str) -> DataFrame:
-    vectors = _vectors(spark, base)
-    relevant = _asked(vectors).join(vectors, F.col("query_label") == F.col("label")).filter("query_id <> id").select("query_id", F.col("id").alias("document_id"))
-    return metrics.judged(_ranked(spark, base).withColumnRenamed("id", "document_id"), relevant)
+    """Ranked rows with ``relevant`` and ``n_relevant``: those of the query's label, counted per label, not listed per query."""
+    vectors = _vectors(spark, base).select("id", "label")
+    asked = vectors.filter("id % 100 = 0 AND label IS NOT NULL").select(F.col("id").alias("query_id"), F.col("label").alias("query_label"))
+    totals = vectors.groupBy(F.col("label").alias("query_label")).agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    hits = _ranked(spark, base).select("query_id", "id", "rank").join(vectors, "id").withColumnRenamed("id", "document_id")
+    judged = asked.join(totals, "query_label").filter("n_relevant > 0").join(hits, "query_id", "left")
+    return judged.select("query_id", "n_relevant", "document_id", "rank", F.coalesce(F.col("label") == F.col("query_label"), F.lit(False)).alias("relevant"))
+
+
+def judged_documents(spark: SparkSession, base: str, ranked: DataFrame) -> DataFrame:
+    """Ranked documents (query_id, document_id, rank) judged alike: relevant is a document with another vector of the query's label."""
+    vectors = _vectors(spark, base).filter("label IS NOT NULL").select("id", "label", F.expr("id div 5").alias("document_id"))
+    held = vectors.groupBy("document_id", "label").agg(F.count(F.lit(1)).alias("_n"))
+    totals = held.groupBy("label").agg(F.count(F.lit(1)).alias("_documents"))
+    asked = vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("document_id").alias("_own"))
+    alone = held.filter("_n = 1").select(F.col("document_id").alias("_own"), "label", F.lit(1).alias("_alone"))
+    asked = asked.join(totals, "label").join(alone, ["_own", "label"], "left").withColumn("n_relevant", F.col("_documents") - F.coalesce("_alone", F.lit(0))).filter("n_relevant > 0")
+    marked = asked.join(ranked.select("query_id", "document_id", "rank"), "query_id", "left").join(held, ["document_id", "label"], "left")
+    relevant = F.col("_n").isNotNull() & ~((F.col("document_id") == F.col("_own")) & (F.col("_n") == 1))
+    return marked.select("query_id", "n_relevant", "document_id", "rank", F.coalesce(relevant, F.lit(False)).alias("relevant"))
 
 
 def _cut_sql(k: int) -> str:
