@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -17,11 +18,20 @@ STOPWORDS = """a an the and or but if then of to in on at for from by with witho
 do does did done have has had having i me my mine we our you your it its this that these those there here what which who whom
 when where why how can could should would will shall may might must not no yes so than too very just also into out up down over
 under again further once any each few more most other some such only own same s t""".split()
-#: Detectors of a missing space: name -> pattern (fixed values).
+#: Detectors of a missing space: name -> pattern (fixed values; case ignored).
 SPACING = {
-    "lower_upper": "[a-z][A-Z]", "letter_digit": "[A-Za-z]{2}[0-9]", "digit_letter": "[0-9][A-Za-z]{2}",
-    "stop_letter": "[a-z][.][A-Z]", "comma_letter": "[A-Za-z],[A-Za-z]", "close_letter": "[)][A-Za-z]",
+    "joined_name": r"(?i)\b[A-Za-z]{3,}(?:Ops|SOP|Team|Dashboard)\b", "colon": r"(?i):[A-Za-z]", "to": r"(?i)\bto(?:the|a|an)\b",
+    "from": r"(?i)\bfrom(?:the|a|an)\b", "by": r"(?i)\bby(?:the|a|an)\b", "of": r"(?i)\bof(?:the|a|an)\b",
 }
+#: Header fields that stand inside retrieved text, each with the values it may have (fixed values).
+_FIELD_NAMES = "(?:Document ID|Category|Department|Customer Scope|Version|Last Updated|Source Authority|Channel)"
+_FIELD_END = rf"(?=\s+{_FIELD_NAMES}\s*:|\s*\*\*|\s*$)"
+HEADER_FIELDS = [
+    r"Document ID\s*:\s*[\w\-]+", rf"Category\s*:\s*C\d+[^:*|#]{{0,70}}?{_FIELD_END}", rf"Department\s*:\s*[^:*|#]{{1,40}}?{_FIELD_END}", r"Customer Scope\s*:\s*\w+",
+    r"Version\s*:\s*[\d.]+", r"Last Updated\s*:\s*[\d\-]+", r"Source Authority\s*:\s*(?:Internal Knowledge Base|\w+)", r"Channel\s*:\s*\w+",
+]
+#: Headings of sections that a quotation leaves out (fixed values).
+SECTIONS = "Short Answer|Detailed Explanation|Key Details|Example Scenario|Related Information|Conditions|Escalation|Troubleshooting|Summary|Overview"
 
 
 @F.pandas_udf(T.StringType())
@@ -175,3 +185,41 @@ def cut_at_word(text: Column, most: int) -> Column:
 def mask_number(number: Column) -> Column:
     """All but the last four characters hidden."""
     return F.concat(F.lit("****"), F.right(number, F.lit(4)))
+
+
+def quotable(text: Column, index: Column) -> Column:
+    """A retrieved piece as it may be quoted.
+
+    Header fields, question and answer labels, section headings, heading and bold marks, table
+    rows and rules go; whitespace collapses; a piece after the first (``index`` above 0) that
+    begins in lower case loses what stands before its first whole sentence. An empty text for null.
+    """
+    out = F.coalesce(text, F.lit(""))
+    for pattern, by in (
+        ("(?s)" + "|".join(HEADER_FIELDS), " "), (r"(?is)^\s*Question\s*:.*?\?\s*Answer\s*:\s*", ""), (r"(?i)^\s*(?:Question|Answer)\s*:\s*", ""), (rf"(?i)#{{2,}}\s*(?:{SECTIONS})\b", " "),
+        (r"\*\*|#+", " "), (r"\|(?:(?:(?!###)[^|]){0,160}\|)+", " "), (r"\||-{3,}", " "), (r"\s+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, by)
+    out = F.trim(out)
+    cut = F.regexp_replace(out, r"(?s)^.*?[.!?]\s+(?=[A-Z0-9\"'(\[])", "")
+    return F.when((F.coalesce(index, F.lit(0)) > 0) & out.rlike(r"^\p{Ll}"), cut).otherwise(out)
+
+
+@F.pandas_udf(T.StringType())
+def flattened(documents: pd.Series) -> pd.Series:
+    """JSON as ``key=value`` pairs, nested objects and lists followed down; null for null, the text itself if it is no JSON."""
+
+    def flat(value: object) -> str:
+        if isinstance(value, dict):
+            return " ".join(f"{k}={flat(v)}" for k, v in value.items())
+        if isinstance(value, list):
+            return " ".join(map(flat, value))
+        return "" if value is None else str(value)
+
+    def of(text: str | None) -> str | None:
+        try:
+            return text if text is None else flat(json.loads(text))
+        except (ValueError, RecursionError):
+            return text
+
+    return documents.map(of)

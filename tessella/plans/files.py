@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.register import register
 from tessella.schemas import TABLES
 from tessella.sources import files, sinks
 from tessella.sources.tables import table
 
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register the function below under its name."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
+QUERIES, query = register()
 
 
 @query("""SELECT subscription_id, customer_id, msisdn, plan_id, strftime(activation_date, '%Y-%m-%d') activation, strftime(expiry_date, '%Y-%m-%d') expiry, status, renewal_type FROM subscriptions""")

@@ -12,21 +12,12 @@ from tessella.operators import retrieval as V
 from tessella.operators import rules
 from tessella.plans import retrieval as RQ
 from tessella.plans.graphs import _EDGES_SQL, _GRAPH_SQL, _edges, _nodes
+from tessella.plans.register import register
 from tessella.plans.texts import _MENTIONS_SQL, _mentions
 from tessella.schemas import TABLES
 from tessella.sources.tables import latest_rows, table
 
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register the function below under its name."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
+QUERIES, query = register()
 
 
 _KEPT = [c for c in TABLES["customer_master"].kinds if c in ("customer_id", "circle", "account_type", "kyc_status", "status")]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.operators import graph as G
 from tessella.operators.retrieval import shared_hub_expansion
+from tessella.plans.register import register
 from tessella.sources.tables import BLANKS, latest_rows, table
 
-QUERIES: dict = {}
+QUERIES, query = register()
 #: Entity, table, key.
 ENTITIES = [("Customer", "customer_master", "customer_id"), ("Plan", "plan_master", "plan_id"), ("Subscription", "subscriptions", "subscription_id"), ("Ticket", "tickets", "ticket_id")]
 #: Child entity, its foreign key, parent entity, edge type.
@@ -17,16 +18,6 @@ REFERENCES = [("Subscription", "customer_id", "Customer", "OF_CUSTOMER"), ("Subs
 _TABLE = {e: (t, k) for e, t, k in ENTITIES}
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register the function below under its name."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

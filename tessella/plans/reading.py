@@ -6,25 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import rules
+from tessella.plans.register import register
 from tessella.sources.tables import table
 
-QUERIES: dict = {}
+QUERIES, query = register()
 #: Table -> words that name it, in order of precedence.
 TABLES = {"invoices": ["invoice", "bill", "charge"], "recharges": ["recharge", "top-up"], "subscriptions": ["plan", "subscription"], "tickets": ["ticket", "complaint"]}
 STATUSES = {"invoices": ("payment_status", ["Paid", "Overdue", "Pending"]), "tickets": ("status", ["Open", "Closed"])}
 INTENTS = {"billing": "invoice|refund|charge", "roaming": "roaming|abroad", "device": "esim|sim|handset", "porting": "port"}
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register the function below under its name."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
 def _questions(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "tickets").filter("description IS NOT NULL").select("ticket_id", "description").distinct()
 
@@ -34,7 +25,10 @@ _VALUE_SQL = "CASE " + " ".join(f"WHEN tbl = '{t}' AND contains(lower(descriptio
 _CUE_SQL = "regexp_matches(description, '(?i)(how many|count|number of|total)')"
 
 
-@query(f"""WITH q AS (SELECT DISTINCT ticket_id, description FROM tickets WHERE description IS NOT NULL), t AS (SELECT *, {_TABLE_SQL} tbl FROM q), v AS (SELECT *, {_VALUE_SQL} value FROM t)
+_PARSED_SQL = f"WITH q AS (SELECT DISTINCT ticket_id, description FROM tickets WHERE description IS NOT NULL), t AS (SELECT *, {_TABLE_SQL} tbl FROM q), v AS (SELECT *, {_VALUE_SQL} value FROM t)"
+
+
+@query(_PARSED_SQL + f"""
     SELECT ticket_id, tbl AS table_name, CASE WHEN tbl IS NULL THEN 'none' WHEN {_CUE_SQL} THEN 'aggregate_count' WHEN value IS NOT NULL THEN 'exact_filter' ELSE 'unresolved' END AS method, value AS filter_value FROM v""")
 def rule_q05_parse(spark: SparkSession, base: str) -> DataFrame:
     """Table, method and filter read from each distinct ticket text."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import files, further, graphs, knowledge, reading, relational, retrieval, streams, texts
+from tessella.plans import files, further, graphs, knowledge, pipelines, reading, relational, retrieval, streams, texts
 
-MODULES = [knowledge, relational, texts, retrieval, graphs, reading, streams, files, further]
+MODULES = [knowledge, relational, texts, retrieval, graphs, reading, streams, files, further, pipelines]
 
 
 def catalogue() -> dict:

@@ -13,21 +13,12 @@ from tessella.functions.text import mask_number
 from tessella.functions.typing import normalise
 from tessella.operators import metrics, ranking
 from tessella.operators import relational as R
+from tessella.plans.register import register
 from tessella.schemas import TABLES
 from tessella.sources.tables import latest_rows, table
 
 MONEY = "decimal(18,2)"
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register the function below under its name."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
+QUERIES, query = register()
 
 
 def _n(name: str) -> Column:

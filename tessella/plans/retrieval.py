@@ -14,22 +14,13 @@ from tessella.functions.vectors import dot
 from tessella.operators import metrics, ranking
 from tessella.operators import relational as R
 from tessella.operators import retrieval as V
+from tessella.plans.register import register
 from tessella.sources.tables import latest_rows, table
 
-QUERIES: dict = {}
+QUERIES, query = register()
 GRAPH_WEIGHT = 0.5
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register the function below under its name."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
 def _vectors(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 

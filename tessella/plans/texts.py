@@ -9,9 +9,10 @@ from tessella.functions import text as X
 from tessella.operators import graph, metrics
 from tessella.operators.chunking import word_chunks
 from tessella.operators.validation import chunk_violations, vector_violations
+from tessella.plans.register import register
 from tessella.sources.tables import BLANKS, latest_rows, table
 
-QUERIES: dict = {}
+QUERIES, query = register()
 #: Phrases looked for in texts: label, concept.
 CONCEPTS = [
     ("Service", "port-in request"), ("Service", "data add-on"), ("Service", "roaming pack"), ("Service", "security deposit"), ("Service", "address update"), ("Service", "SIM swap"),
@@ -20,16 +21,6 @@ CONCEPTS = [
 AS_OF = "2025-06-30"
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    """Register the function below under its name."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
 def _texts(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").select("doc_id", "text")
 

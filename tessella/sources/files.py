@@ -38,9 +38,9 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("score").try_cast("double") > 0).select("query_id", "document_id").distinct()
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType, keys: tuple[str, ...] = ("document_id", "path")) -> DataFrame:
-    """A JSON list of entries; a repeated or missing key raises ValueError."""
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType, keys: tuple[str, ...] = ("document_id", "path"), lines: bool = False) -> DataFrame:
+    """A JSON list of entries, or one entry a line (``lines``); a repeated or missing key raises ValueError."""
+    rows = spark.read.schema(schema).json(path, multiLine=not lines)
     for key in keys:
         bad = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(key).first()
         if bad is not None:
@@ -58,15 +58,21 @@ def docx_text(data: bytes) -> str:
 
 def json_text(data: bytes) -> str:
     """A question file as Question, Answer and Topic lines; any other object as ``key: value`` lines without metadata."""
-    value = json.loads(data.decode("utf-8-sig"))
-    entries = value if isinstance(value, list) else [value]
+    text = data.decode("utf-8-sig")
+    try:
+        value = json.loads(text)
+        entries = value if isinstance(value, list) else [value]
+    except ValueError:  # one value a line
+        entries = [json.loads(line) for line in text.split("\n") if line.strip()]
     out = []
     for entry in entries:
         if not isinstance(entry, dict):
             out.append(str(entry))
         elif "question" in entry and "answer" in entry:
             lines = [f"Question: {entry['question']}", f"Answer: {entry['answer']}"]
-            out.append("\n".join(lines + [f"Topic: {entry['category_name']}"] * bool(entry.get("category_name"))))
+            if topic := entry.get("category_name"):
+                lines.append(f"Topic: {topic}")
+            out.append("\n".join(lines))
         else:
             shown = {k: ", ".join(map(str, v)) if isinstance(v, list) else v for k, v in entry.items() if k not in JSON_METADATA and v not in (None, "")}
             out.append("\n".join(f"{k}: {v}" for k, v in shown.items()))
@@ -106,10 +112,10 @@ def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable
     return files.mapInPandas(parse, "path string, file_type string, text string, error string")
 
 
-def question_list(spark: SparkSession, path: str) -> DataFrame:
-    """(question_id, question) from a JSON file that is a list or holds one under questions, results or queries."""
+def question_list(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(question_id, question) from JSON files, or lines of such (``lines``), that are a list or hold one under questions, results or queries."""
     item = "struct<question_id:string,id:string,query_id:string,question:string,query:string>"
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not lines)
     wrapped = F.coalesce(*[F.from_json("value", f"struct<{k}:array<{item}>>")[k] for k in ("questions", "results", "queries")])
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(wrapped)
     rows = text.select(F.explode(listed).alias("_q"))

@@ -1,16 +1,17 @@
 """Windowed aggregates over event streams, and their batch twins.
 
-The same function aggregates a stream and a table; complete mode makes both agree.
+The same function aggregates a stream and a table. Append mode writes a window once, when the
+watermark has passed its end, and forgets its state; ``closed`` keeps the same windows of the batch
+twin. Complete mode keeps all windows for ever: for small results only.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.sinks import scratch
+
 
 def stamped(events: DataFrame) -> DataFrame:
     """Event time as an instant: watermarks refuse timestamps without zone."""
@@ -41,13 +42,18 @@ def without_repeats(events: DataFrame, key: str, late: str = "1 day") -> DataFra
     return stamped(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def closed(windows: DataFrame, events: DataFrame, stop: str, late: str = "1 day") -> DataFrame:
+    """Those of a batch twin's ``windows`` that a stream in append mode has written: their end (``stop``, text) is not past the watermark."""
+    mark = stamped(events).agg((F.max("ts") - F.expr(f"INTERVAL {late}")).alias("_mark"))
+    return windows.join(F.broadcast(mark)).filter(F.to_timestamp(stop) <= F.col("_mark")).drop("_mark")
+
+
 def run_to_end(spark: SparkSession, result: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a streaming result over all that is there and read what it wrote.
 
     Each batch replaces (complete) or extends (append) a table in the shared checkpoint folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-stream-")
-    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
 
     empty = spark.createDataFrame([], result.schema)
     empty.write.parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch=-1")
@@ -60,4 +66,4 @@ def run_to_end(spark: SparkSession, result: DataFrame, mode: str = "complete") -
 
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep)
     writer.start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{place}/out")
+    return spark.read.schema(result.schema).parquet(f"{place}/out").select(result.columns)

@@ -72,3 +72,52 @@ def test_stream_without_repeats(spark, tmp_path):
     both.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(both.schema).parquet(str(tmp_path / "e"))
     assert W.run_to_end(spark, W.without_repeats(stream, "event_id"), "append").count() == 1
+
+
+def test_append_mode_writes_closed_windows(spark, base):
+    events = spark.read.parquet(f"{base}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{base}/events.parque[t]")
+    got = W.run_to_end(spark, W.sessions(stream, "6 hours"), "append")
+    want = W.closed(W.sessions(events, "6 hours"), events, "stop")
+    assert 0 < want.count() < W.sessions(events, "6 hours").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_vectors_that_do_not_fit(spark, tmp_path):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<double>")
+    metadata = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, title string")
+    sinks.write_vectors(vectors, metadata, str(tmp_path / "v"), dim=2)
+    assert spark.read.parquet(str(tmp_path / "v/vectors")).count() == 2
+    for bad_v, bad_m in ((vectors.limit(1), metadata), (vectors.union(vectors), metadata), (vectors.withColumn("embedding", F.array(F.lit(1.0))), metadata), (vectors, metadata.limit(0))):
+        with pytest.raises(ValueError, match="do not fit"):
+            sinks.write_vectors(bad_v, bad_m, str(tmp_path / "w"), dim=2)
+        assert not (tmp_path / "w" / "vectors").exists() and not (tmp_path / "w" / "unchecked").exists()
+
+
+def test_graph_export_reads_back(spark, tmp_path):
+    nodes, edges = spark.createDataFrame([("a", None), ("b", "x")], "id string, label string"), spark.createDataFrame([("a", "b", 1)], "src string, dst string, n int")
+    for form in ("parquet", "json"):
+        sinks.export_graph(nodes, edges, str(tmp_path / form), form)
+        read = spark.read.format(form).load(str(tmp_path / form / "nodes")).select("id", "label")
+        assert sorted(map(tuple, read.collect())) == [("a", ""), ("b", "x")]
+
+
+def test_folders(spark, monkeypatch):
+    from tessella import session
+
+    place = sinks.scratch(spark, "x")
+    spark.range(3).write.parquet(place)
+    sinks.clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(place).count()
+    monkeypatch.setattr(session, "_named_folder", lambda _: None)
+    assert session.shared_folder(spark) == session.shared_folder(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(spark)
+
+
+def test_json_lines_and_lists_of_questions(spark, tmp_path):
+    assert files.json_text(b'{"question": "Q?", "answer": "A"}\n{"a": [1, 2], "id": 3}\n') == "Question: Q?\nAnswer: A\n\na: 1, 2"
+    (tmp_path / "q.txt").write_text('{"results": [{"id": "1", "query": "a"}]}\n[{"question_id": "2", "question": "b"}]\n')
+    assert {tuple(r) for r in files.question_list(spark, str(tmp_path / "q.txt"), lines=True).collect()} == {("1", "a"), ("2", "b")}

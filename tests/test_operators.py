@@ -223,3 +223,37 @@ def test_fk_report(spark):
     child, parent = spark.createDataFrame([("1",), ("2",), ("",), (None,), ("9",)], "p string"), spark.createDataFrame([(1,), (2,), (2,)], "k int")
     assert tuple(R.foreign_key_report(child, "p", parent, "k", "c.p").first()) == ("c.p", 5, 2, 2, 1, 0.666667)
     assert R.foreign_key_report(child.limit(0), "p", parent, "k", "c.p").first()["rate"] == 1.0
+
+
+def test_quotable_against_a_plain_version(spark):
+    """The chain of column expressions against the same rules written with Python's patterns."""
+    import re
+
+    def plain(text, index):
+        out = re.sub("|".join(X.HEADER_FIELDS), " ", text or "", flags=re.S)
+        out = re.sub(r"^\s*Question\s*:.*?\?\s*Answer\s*:\s*", "", out, flags=re.S | re.I)
+        out = re.sub(r"^\s*(?:Question|Answer)\s*:\s*", "", out, flags=re.I)
+        out = re.sub(rf"#{{2,}}\s*(?:{X.SECTIONS})\b", " ", out, flags=re.I)
+        out = re.sub(r"\|(?:(?:(?!###)[^|]){0,160}\|)+", " ", re.sub("#+", " ", out.replace("**", " ")))
+        out = re.sub(r"\s+", " ", re.sub(r"-{3,}", " ", out.replace("|", " "))).strip()
+        if index and out[:1].islower() and (m := re.search(r"[.!?]\s+(?=[A-Z0-9\"'(\[])", out)):
+            out = out[m.end() :]
+        return out
+
+    cases = [
+        ("Question: How do I pay? Answer: ### Short Answer Visit the desk. ### Key Details | Detail | Value | |---|---| | Fee | 3 |", 0, "Visit the desk."),
+        ("Renewal Document ID: SOP_C17_KYC Category: C17 - KYC and identity Department: Care Team Customer Scope: All Version: 1.2 Last Updated: 2026-08-08 Source Authority: Internal Knowledge Base Channel: App **Purpose** Read this.", 0, None),
+        ("rest of a sentence. Then a whole one. And more", 2, "Then a whole one. And more"),
+        ("rest without an end", 1, "rest without an end"), ("Answer: yes", None, "yes"), (None, 0, ""), ("", 3, ""), ("---- | --- |", 0, ""), ("Department: " + "x" * 60 + " Version: 2", 0, None),
+    ]
+    frame = spark.createDataFrame([(i, t, k) for i, (t, k, _) in enumerate(cases)], "i int, t string, k int")
+    got = {r["i"]: r["q"] for r in frame.select("i", X.quotable(F.col("t"), F.col("k")).alias("q")).collect()}
+    for i, (text, index, want) in enumerate(cases):
+        assert got[i] == plain(text, index), text
+        assert want is None or got[i] == want
+
+
+def test_flattened_json(spark):
+    cases = {'{"a": 1, "b": {"c": [1, {"d": null}], "e": true}}': "a=1 b=c=1 d= e=True", "[]": "", "no json": "no json", "": "", '"x"': "x"}
+    frame = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    assert {r["t"]: r["f"] for r in frame.select("t", X.flattened("t").alias("f")).collect()} == cases | {None: None}
