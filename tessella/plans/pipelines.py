@@ -12,7 +12,7 @@ from tessella.plans import reading
 from tessella.plans import retrieval as RQ
 from tessella.plans.graphs import _GRAPH_SQL, _edges, _nodes
 from tessella.plans.register import register
-from tessella.plans.texts import _MENTIONS_SQL, CONCEPTS, _mentions
+from tessella.plans.texts import _MENTIONS_SQL, CONCEPTS, _mentions, numeric_tokens_sql
 from tessella.sources import files, sinks
 from tessella.sources.tables import latest_rows, table
 
@@ -244,3 +244,56 @@ def sink_k13_labels(spark: SparkSession, base: str) -> DataFrame:
     rows.write.option("header", True).csv(place)
     read = spark.read.csv(place, header=True, schema="doc_id bigint, label string, concept string, predicted string, is_correct string")
     return read.groupBy("doc_id", "label", "concept", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_GRAPH_SQL} SELECT label, count(*) n FROM nodes WHERE label NOT IN ('Ticket', 'Plan') GROUP BY 1 UNION ALL SELECT 'Plan', 1")
+def sink_k10_reset(spark: SparkSession, base: str) -> DataFrame:
+    """Nodes by label, of which two labels are owned: a reset takes these away and leaves the others; one is then written anew."""
+    place = sinks.scratch(spark, "owned")
+    nodes = _nodes(spark, base).select("id", F.col("label").alias("part"))
+    sinks.write_partitioned(nodes, place, "part")
+    sinks.reset_owned(spark, place, "part", ["Ticket", "Plan"])
+    sinks.write_partitioned(spark.createDataFrame([("Plan::0", "Plan")], "id string, part string"), place, "part")
+    return spark.read.schema("id string, part string").parquet(place).groupBy(F.col("part").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- reports --------------------------------------------------------------------------------
+
+
+@query(f"""{_GRAPH_SQL}, ends AS (SELECT src id FROM edges UNION ALL SELECT dst FROM edges), degree AS (SELECT n.id, n.label, count(ends.id) d FROM nodes n LEFT JOIN ends ON ends.id = n.id GROUP BY 1, 2)
+    SELECT label, count(*) n_nodes, count(*) FILTER (d = 0) n_isolated, CAST(max(d) AS BIGINT) most, round(avg(d), 4) mean FROM degree GROUP BY 1""")
+def graph_e20_report(spark: SparkSession, base: str) -> DataFrame:
+    """Nodes, isolated ones, largest and mean degree by label; ends are counted before they meet the nodes."""
+    ends = _edges(spark, base).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_d"))
+    degree = F.coalesce("_d", F.lit(0))
+    rows = _nodes(spark, base).select("id", "label").join(ends, "id", "left").select("label", degree.alias("_d"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("_d") == 0).alias("n_isolated"), F.max("_d").cast("bigint").alias("most"), F.round(F.avg("_d"), 4).alias("mean"))
+
+
+@query("""WITH d AS (SELECT lower(category) concept, count(*) n FROM (SELECT document_id, max_by(category, ingested_at) category FROM canonical_documents WHERE document_id IS NOT NULL GROUP BY 1) WHERE category IS NOT NULL GROUP BY 1),
+    t AS (SELECT DISTINCT customer_id, ticket_id, lower(category) concept FROM tickets WHERE customer_id IS NOT NULL AND ticket_id IS NOT NULL AND category IS NOT NULL)
+    SELECT customer_id, count(DISTINCT ticket_id) n_tickets, count(DISTINCT t.concept) n_concepts, CAST(coalesce(sum(n) FILTER (first), 0) AS BIGINT) n_documents
+    FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, concept ORDER BY ticket_id) = 1 first FROM t) t LEFT JOIN d ON d.concept = t.concept GROUP BY 1""")
+def graph_g18_customer_documents(spark: SparkSession, base: str) -> DataFrame:
+    """From a customer over tickets and their concepts to the documents of the same concept, counted per concept before they meet."""
+    docs = _newest(spark, base).filter("category IS NOT NULL").groupBy(F.lower("category").alias("concept")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = table(spark, base, "tickets").filter("customer_id IS NOT NULL AND ticket_id IS NOT NULL AND category IS NOT NULL").select("customer_id", "ticket_id", F.lower("category").alias("concept")).distinct()
+    tickets = rows.groupBy("customer_id").agg(F.count_distinct("ticket_id").alias("n_tickets"))
+    concepts = rows.select("customer_id", "concept").distinct().join(docs, "concept", "left")
+    reached = concepts.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_concepts"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_documents"))
+    return tickets.join(reached, "customer_id").select("customer_id", "n_tickets", "n_concepts", "n_documents")
+
+
+@query(reading._PARSED_SQL.replace("SELECT DISTINCT ticket_id, description FROM", "SELECT DISTINCT ticket_id, description, resolution_notes, category FROM") + f""",
+    f AS (SELECT *, {numeric_tokens_sql("description")} facts, {numeric_tokens_sql("coalesce(resolution_notes, '')")} said FROM v)
+    SELECT coalesce(category, '') category, count(*) n, round(avg(CASE WHEN tbl IS NOT NULL THEN 1.0 ELSE 0 END), 6) routed, round(coalesce(sum(len(list_intersect(facts, said))) / nullif(sum(len(facts)), 0), 1.0), 6) fact_recall,
+      count(*) FILTER (regexp_matches(coalesce(resolution_notes, ''), '(^|[^0-9])[0-9]{{10}}([^0-9]|$)')) leaks FROM f GROUP BY 1""")
+def eval_e13_outcomes(spark: SparkSession, base: str) -> DataFrame:
+    """Per category: questions sent to a table, facts of the question repeated in the notes, and notes that show a ten-digit number."""
+    rows = table(spark, base, "tickets").filter("description IS NOT NULL").select("ticket_id", "description", "resolution_notes", "category").distinct()
+    read = rules.parse_question(rows, "description", reading.TABLES, reading.STATUSES, [])
+    notes = F.coalesce("resolution_notes", F.lit(""))
+    facts, said = X.numeric_tokens(F.col("description")), X.numeric_tokens(notes)
+    judged = read.select(F.coalesce("category", F.lit("")).alias("category"), F.col("table").isNotNull().cast("double").alias("_r"), F.size(facts).alias("_f"), F.size(F.array_intersect(facts, said)).alias("_s"), notes.rlike("(^|[^0-9])[0-9]{10}([^0-9]|$)").alias("_l"))
+    recall = F.coalesce(F.sum("_s") / F.nullif(F.sum("_f"), F.lit(0)), F.lit(1.0))
+    return judged.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_r"), 6).alias("routed"), F.round(recall, 6).alias("fact_recall"), F.count_if("_l").alias("leaks"))

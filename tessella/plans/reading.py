@@ -42,14 +42,24 @@ def rule_q10_intents(spark: SparkSession, base: str) -> DataFrame:
     return _questions(spark, base).select("ticket_id", F.array_join(found, ",").alias("intents")).distinct()
 
 
-@query()
+_KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(c, '(?i){p}') THEN '{k}'" for k, p in rules.CLAUSE_CUES.items()) + " ELSE 'OTHER' END"
+_CLAUSES_SQL = f"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.?!;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) parts FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT doc_id, unnest(parts) sentence, generate_subscripts(parts, 1) - 1 sentence_no FROM s),
+    c AS (SELECT doc_id, sentence_no, list_filter(list_transform(string_split(regexp_replace(sentence, '[ \\t\\r\\n][-–—][ \\t\\r\\n]', ',', 'g'), ','),
+      lambda x: regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(13)), '[.?!; \\t\\r\\n]+$', '')), lambda x: x <> '') cs FROM n),
+    k AS (SELECT doc_id, sentence_no, cs, list_transform(cs, lambda c: {_KIND_SQL}) ks FROM c),
+    e AS (SELECT doc_id, sentence_no, unnest(cs) clause, unnest(ks) kind, generate_subscripts(cs, 1) - 1 clause_no, list_position(ks, 'HYPOTHETICAL') first FROM k),
+    clauses AS (SELECT doc_id, sentence_no, clause_no, clause, CASE WHEN first > 0 AND clause_no + 1 >= first THEN 'HYPOTHETICAL' ELSE kind END kind FROM e)"""
+
+
+@query(_CLAUSES_SQL + " SELECT doc_id, sentence_no, clause_no, md5(clause) clause, kind FROM clauses")
 def rule_q07_clauses(spark: SparkSession, base: str) -> DataFrame:
     """Every clause of every text with its kind."""
     rows = table(spark, base, "documents").select("doc_id", "text")
     return rules.clause_kinds(rows, "doc_id", "text").select("doc_id", "sentence_no", "clause_no", F.md5("clause").alias("clause"), "kind")
 
 
-@query()
+@query(_CLAUSES_SQL + " SELECT doc_id, count(*) n_clauses, bool_or(kind = 'HYPOTHETICAL') hypothetical, bool_or(kind IN ('HYPOTHETICAL', 'PERMISSION', 'PROCEDURE')) has_policy FROM clauses GROUP BY 1")
 def rule_q07_kinds(spark: SparkSession, base: str) -> DataFrame:
     """Clauses by kind and what they say of a document: hypothetical or asking for a procedure."""
     kinds = rules.clause_kinds(table(spark, base, "documents").select("doc_id", "text"), "doc_id", "text")

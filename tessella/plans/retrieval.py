@@ -90,7 +90,9 @@ def ret_r05_tags(spark: SparkSession, base: str) -> DataFrame:
     return rows.filter("tags <> ''")
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id // 8 page, vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings), q AS (SELECT page query_id, vec_id qv, e qe FROM v WHERE page % 100 = 0),
+    best AS (SELECT query_id, page id, qv, max(list_dot_product(qe, e)) s FROM q, v GROUP BY 1, 2, 3), total AS (SELECT query_id, id, sum(s) score FROM best GROUP BY 1, 2)
+    SELECT query_id, id, round(score, 5) score, CAST(r AS INTEGER) "rank" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) r FROM total) WHERE r <= 5""")
 def ret_r06_max_similarity(spark: SparkSession, base: str) -> DataFrame:
     """Pages of eight vectors, scored by late interaction; pages divisible by 100 ask, the five best answer."""
     pages = _vectors(spark, base).groupBy(F.expr("id div 8").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
@@ -292,7 +294,8 @@ def ret_r18_first_chunk(spark: SparkSession, base: str) -> DataFrame:
     return docs.join(table(spark, base, "document_chunks").filter("chunk_id IS NOT NULL").groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id")), "document_id")
 
 
-@query()
+@query("""WITH t AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) t FROM document_chunks WHERE text IS NOT NULL AND title IS NOT NULL)
+    SELECT DISTINCT chunk_id, CASE WHEN len(q) > 0 AND len(t) > 0 THEN round(len(list_intersect(q, t)) / len(q), 6) ELSE 0 END::DOUBLE score FROM t""")
 def ret_r12_pair_scorer(spark: SparkSession, base: str) -> DataFrame:
     """Each distinct (title, text) pair of pieces scored once, then joined back: the place for a model."""
     pieces = table(spark, base, "document_chunks").filter("text IS NOT NULL AND title IS NOT NULL").select("chunk_id", "title", "text")

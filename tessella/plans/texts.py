@@ -80,7 +80,17 @@ def fn_f19_sentences(spark: SparkSession, base: str) -> DataFrame:
     return _texts(spark, base).filter("text IS NOT NULL").select("doc_id", F.size(X.sentences_simple(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query()
+def numeric_tokens_sql(text: str) -> str:
+    """The tokens of ``functions.text.numeric_tokens`` as a sorted list."""
+    date, time, number = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}(?::[0-9]{2})?", r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?"
+    dated = f"regexp_replace({text}, '{date}', ' ', 'g')"
+    plain = "replace(x, ',', '')"
+    short = f"regexp_replace(CASE WHEN contains(x, '.') THEN regexp_replace({plain}, '\\.?0+$', '') ELSE {plain} END, '^0+([0-9])', '\\1')"
+    return f"""list_sort(list_distinct(list_concat(list_transform(regexp_extract_all({text}, '{date}'), lambda x: 'date:' || x), list_transform(regexp_extract_all({dated}, '{time}'), lambda x: 'time:' || x),
+      list_transform(regexp_extract_all(regexp_replace({dated}, '{time}', ' ', 'g'), '{number}'), lambda x: {short}))))"""
+
+
+@query(f"SELECT DISTINCT ticket_id, array_to_string({numeric_tokens_sql('description')}, ' ') tokens FROM tickets WHERE description IS NOT NULL")
 def fn_f20_numeric_tokens(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "tickets").filter("description IS NOT NULL").select("ticket_id", F.array_join(X.numeric_tokens(F.col("description")), " ").alias("tokens")).distinct()
 

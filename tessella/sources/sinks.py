@@ -34,6 +34,12 @@ def write_partitioned(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def reset_owned(spark: SparkSession, path: str, by: str, owned: list[str]) -> None:
+    """Remove the partitions of the ``owned`` values of ``by``; those of others stay."""
+    for value in owned:
+        remove(spark, f"{path}/{by}={value}")
+
+
 def write_once(rows: DataFrame, path: str) -> None:
     """JSON lines; raises if anything is there."""
     rows.write.mode("errorifexists").json(path)
