@@ -134,14 +134,23 @@ def rule_q06_dispatch(spark: SparkSession, base: str) -> DataFrame:
     return found.select("ticket_id", F.col("table").alias("table_name"), n_rows.alias("n_rows"))
 
 
-@query()
+_BARE_SQL = r"regexp_replace(s, '\[[FD][0-9]+\]', '', 'g')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT ticket_id, resolution_notes, description, category, status FROM tickets WHERE resolution_notes IS NOT NULL),
+    a AS (SELECT ticket_id, status, regexp_replace(resolution_notes, '(?s)^(.*?)([.!?]?)[ \\t\\r\\n]*$', '\\1 [F1]\\2') answer, concat_ws(' ', description, category, status) support FROM n),
+    t AS (SELECT *, {numeric_tokens_sql("support")} known, list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda z: trim(z, ' ' || chr(9) || chr(10) || chr(13))), lambda z: z <> '') ss FROM a)
+    SELECT ticket_id, array_to_string(list_sort(list_distinct(list_concat(
+      CASE WHEN regexp_matches(answer, '(^|[^0-9])[0-9]{{10}}([^0-9]|$)|[\\w.+-]+@[\\w-]+\\.[\\w.-]+') THEN ['R4'] ELSE CAST([] AS VARCHAR[]) END,
+      flatten(list_transform(ss, lambda s: CASE WHEN contains(s, '[F1]') THEN list_transform(list_filter({numeric_tokens_sql(_BARE_SQL)}, lambda y: NOT list_contains(known, y)), lambda y: 'R3:' || y)
+        WHEN regexp_matches({_BARE_SQL}, '[0-9₹$€£]') OR coalesce(regexp_matches(status, '^\\p{{L}}{{3,}}$') AND list_contains(regexp_extract_all({_BARE_SQL}, '\\w+'), status), FALSE) THEN ['R1'] ELSE CAST([] AS VARCHAR[]) END))))), ',') problems FROM t""")
 def rule_q17_notes(spark: SparkSession, base: str) -> DataFrame:
-    """The notes of each ticket, read as an answer that cites its description: what they state without support."""
+    """The notes of each ticket, read as an answer whose last sentence cites the ticket's row: what they state without support."""
     rows = table(spark, base, "tickets").filter("resolution_notes IS NOT NULL").select("ticket_id", "resolution_notes", "description", "category", "status").distinct()
-    cited = F.regexp_replace(F.trim("resolution_notes"), r"([.!?]?)$", " [F1]$1")
+    cited = F.regexp_replace("resolution_notes", r"(?s)^(.*?)([.!?]?)[ \t\r\n]*$", "$1 [F1]$2")
     support = F.create_map(F.lit("F1"), F.concat_ws(" ", "description", "category", "status"))
     read = rows.select("ticket_id", cited.alias("answer"), support.alias("support"), F.array("status").alias("statuses"))
-    return rules.groundedness(read, "answer", "support", "statuses").select("ticket_id", F.array_join("problems", ",").alias("problems"))
+    return rules.groundedness(read, "answer", "support", "statuses").select("ticket_id", F.array_join(F.array_sort("problems"), ",").alias("problems"))
 
 
 # --- files written and read back ------------------------------------------------------------
