@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.orphan_refs import dictionary
+from tessella.operators.orphan_refs import BUCKET_KEYS, dictionary
 from tessella.session import ensure_checkpoint_dir, spread
 
 
@@ -307,7 +307,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, dim: int = 64, curves: Curv
     rows = usable(vectors.filter(F.col("id").isNotNull()).select("id", "embedding"), dim)
     count, mean, covariance = _moments(rows, dim)
     projections = _projections(mean, covariance, curves)
-    names = dictionary(vectors.filter(F.col("id").isNotNull()).select(F.lit("").alias("space"), F.col("id").alias("key"))).select(F.col("key").alias("id"), "code")
+    names = dictionary(vectors.filter(F.col("id").isNotNull()).select(F.lit("").alias("space"), F.col("id").alias("key")), max(64, count // BUCKET_KEYS)).select(F.col("key").alias("id"), "code")
     kept = max(k, curves.kept)
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
