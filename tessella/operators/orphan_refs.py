@@ -57,13 +57,13 @@ def dictionary(keys: DataFrame, buckets: int = 1024) -> DataFrame:
     """(space, key, code): dense codes from 0, the same on every run.
 
     Keys are numbered within hash buckets and shifted by the sizes of the buckets before; the
-    sizes are ``buckets`` rows, whatever the data, so their running sum fits one task.
+    running sum of the sizes is over ``buckets`` rows, one per 65,536 keys where callers count them.
     """
     placed = keys.select("space", "key").distinct().withColumn("bucket", F.pmod(F.xxhash64("space", "key"), F.lit(buckets)).cast("int"))
     ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("space", "key")))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    return ranked.join(F.broadcast(offsets), "bucket").select("space", "key", (F.col("offset") + F.col("nth") - 1).alias("code"))
+    return ranked.join(offsets, "bucket").select("space", "key", (F.col("offset") + F.col("nth") - 1).alias("code"))
 
 
 def pack_bits(positions: np.ndarray) -> bytes:

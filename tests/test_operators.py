@@ -257,3 +257,30 @@ def test_flattened_json(spark):
     cases = {'{"a": 1, "b": {"c": [1, {"d": null}], "e": true}}': "a=1 b=c=1 d= e=True", "[]": "", "no json": "no json", "": "", '"x"': "x"}
     frame = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     assert {r["t"]: r["f"] for r in frame.select("t", X.flattened("t").alias("f")).collect()} == cases | {None: None}
+
+
+def test_expansion_in_blocks_against_a_loop(spark):
+    """Blocks of any size give the rows of a plain loop; nulls and empty sides take no part."""
+    rng = random.Random(5)
+    seeds = [(f"q{q}", rng.choice([f"d{rng.randint(0, 40)}", None]), r) for q in range(12) for r in range(1, 5)]
+    seeds = list({(q, d): (q, d, r) for q, d, r in seeds}.values())
+    mentions = [(rng.choice([f"d{rng.randint(0, 40)}", None]), rng.choice(["A", "B", None]), rng.choice([1, 1, 1, 2, 3, None])) for _ in range(200)]
+    held = {}
+    for d, a, c in mentions:
+        if None not in (d, a, c):
+            held.setdefault(d, set()).add((a, c))
+    want = set()
+    for q in {s[0] for s in seeds}:
+        scores = {}
+        for _, d, r in (s for s in seeds if s[0] == q and s[1] in held):
+            for other, hubs in held.items():
+                for hub in (hubs & held[d]) if other != d else ():
+                    scores.setdefault(other, {}).setdefault(hub, []).append(1 / (1 + r))
+        rows = sorted(((-round(sum(map(sum, h.values())), 6), -len(h), d) for d, h in scores.items()))[:7]
+        want |= {(q, d, -s, -n, i) for i, (s, n, d) in enumerate(rows, 1)}
+    s = spark.createDataFrame(seeds, "query_id string, document_id string, rank int")
+    m = spark.createDataFrame(mentions, "document_id string, label string, concept int")
+    for block in (2048, 8):
+        got = {(r["query_id"], r["document_id"], r["score"], r["n_shared"], r["rank"]) for r in V.shared_hub_expansion(s, m, 7, block=block).collect()}
+        assert {(q, d, round(x, 6), n, i) for q, d, x, n, i in got} == {(q, d, round(x, 6), n, i) for q, d, x, n, i in want}
+    assert V.shared_hub_expansion(s.limit(0), m, 7).count() == V.shared_hub_expansion(s, m.limit(0), 7).count() == 0
