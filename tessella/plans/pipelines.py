@@ -306,3 +306,17 @@ def eval_e13_outcomes(spark: SparkSession, base: str) -> DataFrame:
     judged = read.select(F.coalesce("category", F.lit("")).alias("category"), F.col("table").isNotNull().cast("double").alias("_r"), F.size(facts).alias("_f"), F.size(F.array_intersect(facts, said)).alias("_s"), notes.rlike("(^|[^0-9])[0-9]{10}([^0-9]|$)").alias("_l"))
     recall = F.coalesce(F.sum("_s") / F.nullif(F.sum("_f"), F.lit(0)), F.lit(1.0))
     return judged.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_r"), 6).alias("routed"), F.round(recall, 6).alias("fact_recall"), F.count_if("_l").alias("leaks"))
+
+
+@query("""WITH t AS (SELECT DISTINCT customer_id, ticket_id FROM tickets WHERE customer_id IS NOT NULL AND ticket_id IS NOT NULL), s AS (SELECT DISTINCT plan_id, subscription_id FROM subscriptions WHERE plan_id IS NOT NULL AND subscription_id IS NOT NULL),
+    d AS (SELECT document_id, max_by(category, ingested_at) category FROM canonical_documents WHERE document_id IS NOT NULL GROUP BY 1)
+    SELECT 'tickets of customer ' || customer_id question, count(*) expected FROM t GROUP BY 1 UNION ALL SELECT 'subscriptions on plan ' || plan_id, count(*) FROM s GROUP BY 1 UNION ALL SELECT 'documents about ' || category, count(*) FROM d WHERE category IS NOT NULL GROUP BY 1""")
+def eval_e21_benchmark(spark: SparkSession, base: str) -> DataFrame:
+    """Questions with their answers as the tables give them, none typed; a question without an answer fails the query."""
+    tickets = table(spark, base, "tickets").filter("customer_id IS NOT NULL AND ticket_id IS NOT NULL").select(F.concat(F.lit("tickets of customer "), F.col("customer_id").cast("string")).alias("question"), "ticket_id")
+    plans = table(spark, base, "subscriptions").filter("plan_id IS NOT NULL AND subscription_id IS NOT NULL").select(F.concat(F.lit("subscriptions on plan "), F.col("plan_id").cast("string")).alias("question"), "subscription_id")
+    documents = _newest(spark, base).filter("category IS NOT NULL").select(F.concat(F.lit("documents about "), "category").alias("question"), "document_id")
+    out = [rows.distinct().groupBy("question").agg(F.count(F.lit(1)).alias("expected")) for rows in (tickets, plans, documents)]
+    every = out[0].unionByName(out[1]).unionByName(out[2])
+    anchored = F.when(F.col("question").isNotNull() & (F.col("expected") > 0), F.col("expected")).otherwise(F.raise_error(F.lit("a question without an answer")).cast("bigint"))
+    return every.select("question", anchored.alias("expected"))
