@@ -129,8 +129,14 @@ def count_words(texts: list[str]) -> list[tuple]:
 _COUNTS = ["plain", "dotted", "lower", "upper", "digit", "caseless", "banged", "banged_lower", "final"]
 
 
-#: A word before a period or an exclamation mark, as the built-in functions find it: with the periods inside it and without.
-_CANDIDATES = [r"""([^\s"'“‘«„(\[（。，、/\-]{2,24})[.!]""", r"""([^\s"'“‘«„(\[（。，、/\-.]{2,24})[.!]"""]
+#: A word before a period or an exclamation mark in a token: with the periods inside it and without.
+_CANDIDATES = [re.compile(rf"""([^\s"'“‘«„(\[（。，、/\-{inner}]{{2,24}})[.!]""") for inner in ("", ".")]
+
+
+def marked_words(text: str) -> set[str]:
+    """The words of a text that stand before a period or an exclamation mark, case-folded."""
+    marked = " ".join({w for w in text.split() if "." in w or "!" in w})
+    return {w.casefold() for c in _CANDIDATES for w in c.findall(marked)}
 
 
 def corpus_evidence(documents: DataFrame, seen: int = SEEN) -> DataFrame:
@@ -162,9 +168,15 @@ def corpus_evidence(documents: DataFrame, seen: int = SEEN) -> DataFrame:
 
 def _with_evidence(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     """``texts`` with ``known``: the evidence on the words each holds, as "word<tab>kind". Copies of a text share it."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [marked_words(t) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(found)), np.array([len(w) for w in found], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([w for f in found for w in f], pa.string())], ["_key", "word"])
+
     keyed = texts.withColumn("_key", F.xxhash64("text"))
-    words = F.transform(F.array_union(*[F.regexp_extract_all("text", F.lit(c), F.lit(1)) for c in _CANDIDATES]), F.lower)
-    found = keyed.select("_key", F.explode(words).alias("word")).join(evidence, "word")
+    found = keyed.select("_key", "text").mapInArrow(words, "_key bigint, word string").join(evidence, "word")
     known = found.groupBy("_key").agg(F.collect_set(F.concat_ws("\t", "word", "kind")).alias("known"))
     return keyed.join(known, "_key", "left").drop("_key")
 
