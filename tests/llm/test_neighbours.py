@@ -1,8 +1,13 @@
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.llm import neighbours
 from tessella.llm.neighbours import Curves, hilbert_keys, similar_vectors
+from tessella.session import shared_folder
 
 SMALL = Curves(orderings=4, axes=4, bits=5, window=64)
 
@@ -71,3 +76,27 @@ def test_one_window_holds_all_where_it_fits(spark):
     want = {(f"v{i:04d}", f"v{j:04d}") for i in range(60) for j in np.argsort(-sims[i])[:5]}
     got = {(r["id"], r["neighbour"]) for r in similar_vectors(frame(spark, x), 5, 8, Curves(orderings=1, axes=4, bits=5, window=64)).collect()}
     assert len(got & want) >= 298  # all but near ties in 16 bits
+
+
+def test_single_orderings_and_slices_find_all_and_leave_no_files(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(40, 16)), 20, axis=0) + 0.3 * rng.normal(size=(800, 16))
+    monkeypatch.setattr(neighbours, "_TOGETHER", 1)  # an ordering at a time
+    monkeypatch.setattr(neighbours, "_SLICED", 160)  # five slices a round, merged after four
+    local = [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p for d in local for p in d.rglob("shuffle_*.data")}
+    rows, before = frame(spark, x), shuffled()
+    result = similar_vectors(rows, 10, 16, Curves(orderings=6, axes=4, bits=6, window=64))
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert not list(Path(shared_folder(spark).removeprefix("file://")).glob("tessella-scratch-*/neighbours-*"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(x)) for j in np.argsort(-sims[i])[:10]}
+    got = {(r["id"], r["neighbour"]) for r in result.collect()}
+    assert len(got) == 8000
+    assert len(got & want) >= 0.95 * len(want)
